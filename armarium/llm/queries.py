@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import grouping, leaks, mixing, tokens
+from . import grouping, leaks, mixing, overlap, spans, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -89,3 +89,53 @@ def p8_found(spark, sf):
 @query
 def p8_mixture(spark, sf):
     return mixing.mixture_report(_document_tokens(spark, sf), table(spark, sf, "mixture_targets"))
+
+
+def _split_sides(spark, sf):
+    """Records of val and test, and of train, each once; rows without split are of neither."""
+    ledger = table(spark, sf, "corpus_ledger")
+    base = ledger.where("split in ('train', 'val', 'test') and doc_id is not null and _text is not null")
+    key, text = F.col("doc_id").alias("key"), F.col("_text").alias("text")
+    return base.where("split != 'train'").select(key, text), base.where("split = 'train'").select(key, text), base
+
+
+@query
+def p5_found(spark, sf):
+    held_out, train, _ = _split_sides(spark, sf)
+    found = overlap.overlaps(held_out, train)
+    return found.select(F.least("key_l", "key_r").alias("doc_id_a"), F.greatest("key_l", "key_r").alias("doc_id_b")).distinct()
+
+
+@query
+def p5_report(spark, sf):
+    held_out, train, base = _split_sides(spark, sf)
+    found = overlap.overlaps(held_out, train)
+    about = base.select("doc_id", "split", tokens.source_of(F.col("path")).alias("source")).dropDuplicates(["doc_id"])
+    return (
+        found.groupBy(F.col("key_l").alias("doc_id")).agg(F.count_distinct("key_r").alias("n"))
+        .join(about, "doc_id")
+        .groupBy("split", "source")
+        .agg(F.count("*").alias("records"), F.sum("n").alias("pairs"))
+    )
+
+
+def _records(spark, sf):
+    """Ledger records and samples under one key."""
+    ledger = table(spark, sf, "corpus_ledger").select(F.col("doc_id").alias("key"), F.col("_text").alias("text"))
+    return ledger.union(table(spark, sf, "eval_samples").select("sample_id", "text"))
+
+
+@query
+def p3_found(spark, sf):
+    return spans.span_pairs(_records(spark, sf)).select("key_a", "key_b")
+
+
+@query
+def p3_longest(spark, sf):
+    found = spans.sample_statistics(table(spark, sf, "corpus_ledger"), table(spark, sf, "eval_samples"))
+    samples = table(spark, sf, "eval_samples").select("sample_id", "label", "sample_no")
+    base = table(spark, sf, "eval_v2_baseline").where("contamination is not null")
+    lengths = F.posexplode("contamination.longest_exact_train_ngram_tokens").alias("sample_no", "recorded_tokens")
+    recorded = base.select("label", lengths).distinct().groupBy("label", "sample_no").agg(F.max("recorded_tokens").alias("recorded_tokens"))
+    joined = samples.join(found, samples["sample_id"] == found["sample"], "left").join(recorded, ["label", "sample_no"], "left")
+    return joined.select("sample_id", "label", "sample_no", F.coalesce("longest", F.lit(0)).alias("longest_words"), F.col("doc").alias("doc_id"), "recorded_tokens")

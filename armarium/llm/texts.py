@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 #: Line ends inside a word: marks that printers and transcribers put there.
 BREAK_MARKS = "-¬‐=~­"
-_BROKEN = re.compile(f"(?<=[^\\W\\d_])[{BREAK_MARKS}][ \\t]*\\n\\s*(?=[^\\W\\d_])")
-_COMBINING = re.compile("[̀-ͯ​-‍⁠﻿]")
-_EDITORS = re.compile(r"[\[\]()<>{}†‡*'’|]")
-_LETTERS = re.compile("[a-z]+").findall
+_BROKEN = re.compile(f"[{BREAK_MARKS}][ \\t]*\\n\\s*")
+_DROPPED = re.compile("[\u0300-\u036f\u200b-\u200d\u2060\ufeff†‡’\u00ad]")
+_TAGS = re.compile(r"</?(?:i|b|u|em|strong|sup|sub|small|span|div|p|br|hi|lb|pb)\s*/?>", re.I)
+#: Bytes to folded bytes: letters to lower case with v as u and j as i, editors' marks dropped, all else blanks.
+_FOLDED = bytes(ord({"v": "u", "j": "i"}.get(c, c)) if (c := chr(i).lower()).isalpha() and c.isascii() else 32 for i in range(256))
+_EDITORS = b"[](){}<>*'|"
 
 #: Function words of English, French, German and Italian that Latin lacks.
 MODERN_WORDS = frozenset(
@@ -38,19 +40,26 @@ def words(text: str) -> list[str]:
     return [w for w in text.replace("\t", " ").replace("\n", " ").split(" ") if w]
 
 
+def plain(text: str) -> str:
+    """The text without vowel lengths, accents, ligatures, joiners and daggers; other letters stay as they are."""
+    if text.isascii():
+        return text
+    t = _DROPPED.sub("", unicodedata.normalize("NFKD", text))
+    return t.replace("æ", "ae").replace("œ", "oe").replace("Æ", "AE").replace("Œ", "OE")
+
+
 def fold(text: str) -> str:
     """Lower case without vowel lengths, ligatures and the u/v and i/j distinctions."""
-    t = text.lower()
-    if not t.isascii():
-        t = _COMBINING.sub("", unicodedata.normalize("NFKD", t)).replace("æ", "ae").replace("œ", "oe")
-    return t.replace("v", "u").replace("j", "i")
+    return plain(text).lower().replace("v", "u").replace("j", "i")
 
 
 def folded_words(text: str) -> list[str]:
-    """Folded words of letters, words divided at line ends put together, editors' marks taken out."""
+    """Folded words of letters, words divided at line ends put together, editors' marks and tags taken out."""
     if "\n" in text:
         text = _BROKEN.sub("", text)
-    return _LETTERS(_EDITORS.sub("", fold(text)))
+    if "<" in text:
+        text = _TAGS.sub("", text)
+    return plain(text).encode("ascii", "replace").translate(_FOLDED, _EDITORS).decode("ascii").split()
 
 
 def modern_share(ws: list[str]) -> float:
@@ -143,3 +152,25 @@ def lcs(a: list, b: list) -> int:
             u = v & m
             v = ((v + u) | (v - u)) & full
     return len(a) - v.bit_count()
+
+
+def flat_hashes(lists: list[list[str]], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words one after another, number of words per text)."""
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    flat = np.fromiter((h for ws in lists for h in map(memo.__getitem__, ws)), np.int64, int(lengths.sum()))
+    return flat, lengths
+
+
+def signatures(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """One hash of each text's words in order; 0 for a text without words."""
+    out = np.zeros(len(lengths), np.int64)
+    has = lengths > 0
+    if has.any():
+        starts = (np.cumsum(lengths) - lengths)[has]
+        place = np.arange(len(flat)) - np.repeat(starts, lengths[has])
+        with np.errstate(over="ignore"):
+            odd = np.cumprod(np.full(int(lengths.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+            mixed = flat.view(np.uint64) * odd[place]
+            mixed ^= mixed >> np.uint64(31)
+            out[has] = np.add.reduceat(mixed, starts).view(np.int64)
+    return out
