@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import grouping, leaks, mixing, overlap, spans, tokens
+from . import grouping, leaks, mixing, overlap, scans, spans, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -139,3 +139,15 @@ def p3_longest(spark, sf):
     recorded = base.select("label", lengths).distinct().groupBy("label", "sample_no").agg(F.max("recorded_tokens").alias("recorded_tokens"))
     joined = samples.join(found, samples["sample_id"] == found["sample"], "left").join(recorded, ["label", "sample_no"], "left")
     return joined.select("sample_id", "label", "sample_no", F.coalesce("longest", F.lit(0)).alias("longest_words"), F.col("doc").alias("doc_id"), "recorded_tokens")
+
+
+@query
+def p4_found(spark, sf):
+    found = scans.scan_noise(table(spark, sf, "corpus_ledger"))
+    return found.select(F.col("key").alias("doc_id"), F.col("line").alias("line_no"), "kind").distinct()
+
+
+@query
+def p4_repaired(spark, sf):
+    pages = scans.scan_noise(table(spark, sf, "corpus_ledger"), repaired=True)
+    return pages.dropDuplicates(["key"]).select(F.col("key").alias("doc_id"), "text")
