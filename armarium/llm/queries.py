@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import grouping, leaks, mixing, overlap, scans, spans, tokens
+from . import grouping, leaks, levels, mixing, overlap, scans, spans, subjects, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -151,3 +151,28 @@ def p4_found(spark, sf):
 def p4_repaired(spark, sf):
     pages = scans.scan_noise(table(spark, sf, "corpus_ledger"), repaired=True)
     return pages.dropDuplicates(["key"]).select(F.col("key").alias("doc_id"), "text")
+
+
+@query
+def p2_found(spark, sf):
+    found = subjects.subjects_of(table(spark, sf, "corpus_ledger"), table(spark, sf, "subject_terms"), table(spark, sf, "subject_examples"))
+    return found.select(F.col("key").alias("doc_id"), "subject")
+
+
+@query
+def p2_composition(spark, sf):
+    """Documents and words by subject; documents that treat several count for each."""
+    found = subjects.subjects_of(table(spark, sf, "corpus_ledger"), table(spark, sf, "subject_terms"), table(spark, sf, "subject_examples"))
+    return found.groupBy("subject").agg(F.count("*").alias("docs"), F.sum("words").alias("subject_words"))
+
+
+@query
+def p9_found(spark, sf):
+    found = levels.reading_levels(table(spark, sf, "documents"), table(spark, sf, "graded_passages"))
+    return found.select(F.col("key").alias("doc_id"), F.col("level").alias("reading_level")).distinct()
+
+
+@query
+def p9_profile(spark, sf):
+    found = levels.reading_levels(table(spark, sf, "documents"), table(spark, sf, "graded_passages")).dropDuplicates(["key"])
+    return found.groupBy(F.col("level").alias("reading_level")).agg(F.count("*").alias("docs"), F.sum("n_words").alias("words"), F.round(F.avg("expected"), 4).alias("expected"))
