@@ -11,27 +11,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, small
+from .scans import is_furniture, title_words
 from .texts import Memo, arrow_map, flat_hashes, folded_words, hash64, lcs, rolling, signatures
 
 #: Share of both records' words that must agree in the same order.
 AGREE = 0.7
-#: Least cosine of the term vectors of a pair. Seven words in ten in the same order leave at least four in
-#: ten word pairs whole, even if every other word is new; weights move that by less than the rest.
-COSINE = 0.3
+#: Terms are runs of words, each as short as it can be to stand less than CHANCE times in the whole corpus if
+#: words came in any order; so terms grow with the corpus, and few records share one by chance.
+CHANCE, LONGEST = 0.1, 8
+#: Least cosine of the term vectors of a pair. Of runs of three words a third stay whole if three words in
+#: ten are new here and there, of runs of two half of them.
+COSINE = 0.25
 #: Share of a vector's length that its lightest terms may have together and not be posted.
 RESIDUAL = 0.15
 #: Word frequencies are kept in so many hashed counters, and posted terms of the smaller side in a bitmap
 #: of so many bits: both are of one size whatever the corpus, and broadcast.
 COUNTERS, BITS, BLOCK = 1 << 20, 1 << 25, 1 << 16
 
-#: Lines that hold a page number, a section number or a signature and no text. Running heads stay:
-#: they can't be told from a text in capitals here, and are a few words.
-_FURNITURE = re.compile(r"^[ \t]*(?:[—-]?[ \t]*\[?(?:\d+|[IVXLCDM]+)\]?[ \t]*[—-]?|LIB\.[ \t]*[IVXLC]+\.[^a-z\n]*|Pag\.[^\n]{0,9}|[A-Z] [ivx]{1,4}j?)[ \t]*$", re.M)
-
-
-def bare_words(text: str) -> list[str]:
-    """Folded words without lines that can only be page furniture."""
-    return folded_words(_FURNITURE.sub("", text)) if "\n" in text else folded_words(text)
+def bare_words(text: str, name: str = "") -> list[str]:
+    """Folded words of a text without its page furniture: numbers, signatures, and heads that repeat the file's title."""
+    if "\n" in text:
+        title = title_words(name) if name else []
+        most = len(name) + 12
+        text = "\n".join([line for line in text.split("\n") if len(line) > most or not is_furniture(line, title)])
+    return folded_words(text)
 
 
 def statistics(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
@@ -42,7 +45,7 @@ def statistics(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
     memo = Memo(hash64)
 
     def per_batch(batch):
-        flat, lengths = flat_hashes([bare_words(t) for t in batch.column("text").to_pylist()], memo)
+        flat, lengths = flat_hashes(_read(batch), memo)
         n = np.bincount(flat & (COUNTERS - 1), minlength=1)
         at = np.flatnonzero(n)
         has = np.flatnonzero(lengths)
@@ -57,65 +60,74 @@ def statistics(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
     return out, rows.where("key is not null").select("key", "class")
 
 
-def vectors(flat: np.ndarray, lengths: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, terms, weights, residuals): the posted parts of unit vectors over word pairs, of a batch of texts.
+def vectors(flat: np.ndarray, lengths: np.ndarray, logp: np.ndarray, log_n: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, terms, weights, residuals): the posted parts of unit vectors over runs of words, of a batch of texts.
 
-    A pair's weight is the product of its words' idf; the text's two ends make pairs with a word of
-    middling weight, so one word is enough. What is left out of a text's vector, its lightest terms,
-    has the length `residual` <= RESIDUAL.
+    A run's weight is its information, the sum of its words'. A run that meets the end of the text
+    while it is still too likely is no term, unless the text has no other. What is left out of a
+    text's vector, its lightest terms, has the length `residual` <= RESIDUAL.
     """
-    texts = np.flatnonzero(lengths)
-    n = lengths[texts]
-    if not len(texts):
+    if not len(flat):
         return np.empty(0, int), np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.float32)
-    starts = np.cumsum(n) - n
-    w = idf[flat & (COUNTERS - 1)]
-    mean = np.add.reduceat(w, starts) / n
-    # each text gets an end before and behind it
-    size = n + 2
-    begin = np.cumsum(size) - size
-    words = np.empty(int(size.sum()), np.int64)
-    weight = np.empty(len(words))
-    inner = np.ones(len(words), bool)
-    inner[begin] = inner[begin + size - 1] = False
-    words[inner], weight[inner] = flat, w
-    words[begin], words[begin + size - 1] = 1, 2
-    weight[begin] = weight[begin + size - 1] = mean
-    of = np.repeat(np.arange(len(texts)), size)
-    same = of[1:] == of[:-1]
-    terms, weight, of = rolling(words, 2)[same], (weight[1:] * weight[:-1])[same], of[:-1][same]
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    room = np.cumsum(lengths)[of] - np.arange(len(flat))
+    hashes, info = flat.view(np.uint64).copy(), -logp[flat & (COUNTERS - 1)]
+    one = info.copy()
+    todo, whole = np.ones(len(flat), bool), np.zeros(len(flat), bool)
+    terms, weight = hashes.copy(), info.copy()
+    with np.errstate(over="ignore"):
+        for n in range(2, LONGEST + 1):
+            k = len(flat) - n + 1
+            if k <= 0:
+                break
+            more = todo[:k] & (room[:k] >= n)
+            at = np.flatnonzero(more)
+            terms[at] = terms[at] * np.uint64(0x9E3779B97F4A7C15) + hashes[at + n - 1]
+            weight[at] += one[at + n - 1]
+            enough = at if n == LONGEST else at[weight[at] - log_n >= -np.log(CHANCE)]
+            todo[enough] = False
+            whole[enough] = True
+        terms ^= terms >> np.uint64(29)
+        terms *= np.uint64(0xBF58476D1CE4E5B9)
+        terms ^= terms >> np.uint64(32)
+    none = np.bincount(of, whole, len(lengths)) == 0
+    use = whole | none[of]
+    terms, weight, of = terms[use], weight[use], of[use]
     with np.errstate(over="ignore"):
-        mixed = terms.view(np.uint64) ^ (of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        mixed = terms ^ (of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     _, first, tf = np.unique(mixed, return_index=True, return_counts=True)
-    terms, of, weight = terms[first], of[first], weight[first] * np.sqrt(tf)
+    terms, of, weight = terms[first].view(np.int64), of[first], weight[first] * np.sqrt(tf)
     order = np.lexsort((-weight, of))
     terms, of, square = terms[order], of[order], weight[order] ** 2
     starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
     count = np.diff(np.append(starts, len(of)))
-    norm = np.add.reduceat(square, starts)
-    square /= np.repeat(norm, count)
+    square /= np.repeat(np.add.reduceat(square, starts), count)
     run = np.cumsum(square)
     before = run - square - np.repeat(run[starts] - square[starts], count)
     keep = 1 - before > RESIDUAL**2
     last = np.add.reduceat(keep.astype(np.int64), starts) + starts - 1
     left = np.sqrt(np.maximum(0, 1 - before[last] - square[last]))
-    return texts[of[keep]], terms[keep], np.sqrt(square[keep]).astype(np.float32), np.repeat(left, count)[keep].astype(np.float32)
+    return of[keep], terms[keep], np.sqrt(square[keep]).astype(np.float32), np.repeat(left, count)[keep].astype(np.float32)
+
+
+def _read(batch) -> list[list[str]]:
+    return [bare_words(t, n or "") for t, n in zip(batch.column("text").to_pylist(), batch.column("name").to_pylist())]
 
 
-def postings(docs: DataFrame, idf, wanted=None) -> DataFrame:
+def postings(docs: DataFrame, words, wanted=None) -> DataFrame:
     """(term, class, w, res) of every document with words; with a bitmap only terms that are in it."""
     memo = Memo(hash64)
 
     def per_batch(batch):
-        flat, lengths = flat_hashes([bare_words(t) for t in batch.column("text").to_pylist()], memo)
-        of, terms, w, left = vectors(flat, lengths, idf.value)
+        flat, lengths = flat_hashes(_read(batch), memo)
+        of, terms, w, left = vectors(flat, lengths, *words.value)
         if wanted is not None:
             at = terms & (BITS - 1)
             has = (wanted.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             of, terms, w, left = of[has], terms[has], w[has], left[has]
         return {"term": terms, "class": signatures(flat, lengths)[of], "w": w, "res": left} if len(terms) else None
 
-    return arrow_map(docs.select("text"), "term bigint, class bigint, w float, res float", per_batch)
+    return arrow_map(docs.select("text", "name"), "term bigint, class bigint, w float, res float", per_batch)
 
 
 def bitmap(terms: DataFrame) -> np.ndarray:
@@ -161,16 +173,17 @@ def cosine_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
     """(key_l, key_r, agree): records of two sides with at least AGREE of the words of both in the same order.
 
-    left, right: (key, text), left the smaller side (held-out records), right the larger. Candidates
+    left, right: (key, text, name of the file), left the smaller side (held-out records), right the larger. Candidates
     come from a weighted cosine join; their words are then compared in order. Texts without words
     pair with nothing; rows stored twice and pairs found twice count once.
     """
     spark = left.sparkSession
     shared = spark.sparkContext.broadcast
     n, every = statistics(left.union(right))
-    idf = shared(np.log1p(max(int(n.sum()), 1) / np.maximum(n, 1)))
-    posted = materialize(postings(left, idf))
-    pairs = materialize(cosine_pairs(posted, postings(right, idf, shared(bitmap(posted)))))
+    total = max(int(n.sum()), 1)
+    words = shared((np.log(np.maximum(n, 1) / total).astype(np.float32), float(np.log(total))))
+    posted = materialize(postings(left, words))
+    pairs = materialize(cosine_pairs(posted, postings(right, words, shared(bitmap(posted)))))
     members = []
     for side, docs in (("l", left), ("r", right)):
         some = pairs.select(F.col(f"class_{side}").alias("class")).distinct()
@@ -183,13 +196,13 @@ def _checked(left, right, pairs, in_left, in_right):
     sides = []
     for docs, members, s in ((left, in_left, "l"), (right, in_right, "r")):
         one = members.groupBy("class").agg(F.min("key").alias("key"))
-        sides.append(docs.join(small(one), "key").dropDuplicates(["key"]).select(F.col("class").alias(f"class_{s}"), F.col("text").alias(f"text_{s}")))
+        sides.append(docs.join(small(one), "key").dropDuplicates(["key"]).select(F.col("class").alias(f"class_{s}"), F.struct("text", "name").alias(f"text_{s}")))
     joined = pairs.join(sides[0], "class_l").join(sides[1], "class_r")
 
     def per_batch(batch):
         out = {"class_l": [], "class_r": [], "agree": []}
         for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("class_l", "class_r", "text_l", "text_r"))):
-            x, y = bare_words(x), bare_words(y)
+            x, y = bare_words(x["text"], x["name"] or ""), bare_words(y["text"], y["name"] or "")
             agree = lcs(x, y) / max(len(x), len(y))
             if agree >= AGREE:
                 for c, v in zip(out, (a, b, agree)):

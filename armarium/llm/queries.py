@@ -95,8 +95,8 @@ def _split_sides(spark, sf):
     """Records of val and test, and of train, each once; rows without split are of neither."""
     ledger = table(spark, sf, "corpus_ledger")
     base = ledger.where("split in ('train', 'val', 'test') and doc_id is not null and _text is not null")
-    key, text = F.col("doc_id").alias("key"), F.col("_text").alias("text")
-    return base.where("split != 'train'").select(key, text), base.where("split = 'train'").select(key, text), base
+    cols = F.col("doc_id").alias("key"), F.col("_text").alias("text"), scans.file_name(F.col("path")).alias("name")
+    return base.where("split != 'train'").select(*cols), base.where("split = 'train'").select(*cols), base
 
 
 @query
