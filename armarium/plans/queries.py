@@ -1,10 +1,8 @@
-"""The reference's operators as named queries; filled by the modules of this package."""
+"""The reference's operators as named queries, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import classification, cleaning, generation, mixtures, scoring, series, splits
+from .registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
