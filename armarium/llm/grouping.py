@@ -86,9 +86,11 @@ def components(edges: DataFrame, merge_links: int = MERGE_LINKS, fan_in: int = 8
         if after.exceptAll(now).isEmpty():
             return _flatten(after)
         now, n = after, after.count()
-    while parts > 1:
+    while True:
         parts = max(1, parts // fan_in)
         now = materialize(local_forests(now.coalesce(parts)))
+        if parts == 1:
+            break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

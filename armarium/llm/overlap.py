@@ -177,8 +177,8 @@ def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
     come from a weighted cosine join; their words are then compared in order. Texts without words
     pair with nothing; rows stored twice and pairs found twice count once.
     """
-    spark = left.sparkSession
-    shared = spark.sparkContext.broadcast
+    left, right = (d.select("key", "text", "name").where("key is not null and text is not null") for d in (left, right))
+    shared = left.sparkSession.sparkContext.broadcast
     n, every = statistics(left.union(right))
     total = max(int(n.sum()), 1)
     words = shared((np.log(np.maximum(n, 1) / total).astype(np.float32), float(np.log(total))))

@@ -47,6 +47,16 @@ def p6_found(spark, sf):
     return pairs.select(F.col("a").alias("work_a"), F.col("b").alias("work_b"))
 
 
+ORACLE["p6_found"] = r"""WITH RECURSIVE v AS (SELECT DISTINCT lower(trim(regexp_replace(work_id, '\s+', ' ', 'g'))) AS w, lower(trim(regexp_replace(work_group, '\s+', ' ', 'g'))) AS g,
+    lower(trim(regexp_replace(content_sha1, '\s+', ' ', 'g'))) AS h FROM corpus_ledger),
+    n AS (SELECT DISTINCT row_number() OVER () AS r, w, g, h FROM v),
+    l AS (SELECT r, unnest([CASE WHEN w NOT IN ('', 'unknown', 'da39a3ee5e6b4b0d3255bfef95601890afd80709') THEN '0:' || w END, CASE WHEN g NOT IN ('', 'unknown', 'da39a3ee5e6b4b0d3255bfef95601890afd80709') THEN '1:' || g END,
+    CASE WHEN h NOT IN ('', 'unknown', 'da39a3ee5e6b4b0d3255bfef95601890afd80709') THEN '2:' || h END]) AS x FROM n),
+    e AS (SELECT DISTINCT a.x AS a, b.x AS b FROM l a JOIN l b ON a.r = b.r WHERE a.x IS NOT NULL AND b.x IS NOT NULL),
+    c(a, b) AS (SELECT a, a FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)
+    SELECT DISTINCT substr(a, 3) AS work_a, substr(b, 3) AS work_b FROM c WHERE starts_with(a, '0:') AND starts_with(b, '0:') AND a < b"""
+
+
 def _record_roots(ledger):
     """(doc_id, root, size): every record once with its group; a record that nothing links is its own group."""
     roots = grouping.components(grouping.links(ledger, *LINKS))
@@ -130,6 +140,12 @@ def p3_found(spark, sf):
     return spans.span_pairs(_records(spark, sf)).select("key_a", "key_b")
 
 
+@query
+def p3_shared(spark, sf):
+    found = spans.shared_words(_records(spark, sf))
+    return found.select("key", "words", F.col("shared").alias("shared_words"), F.round("share", 4).alias("share"))
+
+
 @query
 def p3_longest(spark, sf):
     found = spans.sample_statistics(table(spark, sf, "corpus_ledger"), table(spark, sf, "eval_samples"))

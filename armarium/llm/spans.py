@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, small
@@ -128,6 +128,30 @@ def shared_spans(sequences: list[list[str]], least: int = SPAN) -> list[tuple[in
     return [(i, j, *v) for (i, j), v in longest.items()]
 
 
+def shared_places(sequences: list[list[str]], least: int = SPAN) -> list[tuple[int, int, int]]:
+    """(i, start, length): maximal places of each sequence that another one holds too, `least` words or more each."""
+    automaton = SuffixAutomaton()
+    for s in sequences:
+        automaton.add(s)
+    owners = automaton.owners(sequences, least)
+    out = []
+    for i, words in enumerate(sequences):
+        begin = end = -1
+        for at, (state, n) in enumerate(automaton.statistics(words)):
+            while state > 0 and n >= least and not owners[state] - {i}:
+                state = automaton.link[state]
+                n = min(n, automaton.length[state])
+            if state > 0 and n >= least:
+                if at - n + 1 > end:
+                    if end >= 0:
+                        out.append((i, begin, end - begin + 1))
+                    begin = at - n + 1
+                end = at
+        if end >= 0:
+            out.append((i, begin, end - begin + 1))
+    return out
+
+
 def anchors_of(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, position, hash) of the anchors: the least ANCHOR-word hash, the last of equals, of every window."""
     window = SPAN - ANCHOR + 1
@@ -207,13 +231,7 @@ def span_pairs(docs: DataFrame, key: str = "key", text: str = "text") -> DataFra
     from it; `words` is then at least that much. Null and shorter texts share nothing; a record
     stored twice is one record.
     """
-    base = keyed(docs, key, text)
-    kind = dict(base.dtypes)["key"]
-    passages = materialize(routed_passages(base))
-    classes = passages.groupBy("route", "passage").agg(F.count("*").alias("n")).withColumn("class", F.xxhash64("route", "passage"))
-    several = classes.groupBy("route").agg(F.count("*").alias("passages"), F.sum("n").alias("n")).where("n > 1")
-    classes = materialize(classes.select("route", "passage", "class").join(several.select("route", "passages"), "route"))
-    shards = max(1, classes.where("passages > 1").count() * (2 * SPAN - ANCHOR) // SHARD_WORDS)
+    passages, classes, shards = _shards(keyed(docs, key, text))
 
     def per_shard(f: pd.DataFrame) -> pd.DataFrame:
         texts = f["passage"].str.split().tolist()
@@ -237,6 +255,42 @@ def span_pairs(docs: DataFrame, key: str = "key", text: str = "text") -> DataFra
     return both.groupBy(F.least("key_1", "key_2").alias("key_a"), F.greatest("key_1", "key_2").alias("key_b")).agg(F.max("words").alias("words"))
 
 
+def shared_words(docs: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
+    """(key, words, shared, share): how many words of each record stand in spans that other records hold too.
+
+    Of records that share something; copies are not paired for it, so a text that very many records
+    hold costs no more than its rows. Same rules as span_pairs.
+    """
+    base = keyed(docs, key, text)
+    passages, classes, shards = _shards(base)
+
+    def per_shard(f: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in f.groupby("route", sort=False):
+            out += [(part["class"].iloc[i], start, length) for i, start, length in shared_places(part["passage"].str.split().tolist())]
+        return pd.DataFrame(out, columns=["class", "start", "n"])
+
+    places = classes.where("passages > 1").withColumn("shard", F.pmod("route", F.lit(shards))).groupBy("shard").applyInPandas(per_shard, "class bigint, start int, n int")
+    copies = passages.withColumn("class", F.xxhash64("route", "passage")).select("class", "key").distinct().groupBy("class").count().where("count > 1")
+    whole = classes.join(copies, "class").select("class", F.lit(0).alias("start"), F.size(F.split("passage", " ")).alias("n")).where(f"n >= {SPAN}")
+    members = passages.withColumn("class", F.xxhash64("route", "passage")).select("class", "key", "begin")
+    at = places.union(whole).join(members, "class").select("key", (F.col("begin") + F.col("start")).alias("b"), (F.col("begin") + F.col("start") + F.col("n")).alias("e")).distinct()
+    w = Window.partitionBy("key").orderBy("b", "e").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.greatest(F.lit(0), F.col("e") - F.greatest("b", F.coalesce(F.max("e").over(w), F.lit(0))))
+    sums = at.withColumn("new", new).groupBy("key").agg(F.sum("new").alias("shared"))
+    lengths = base.groupBy("key").agg(F.max(F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)\\s+", " ")), " "))).alias("words"))
+    return sums.join(lengths, "key").select("key", "words", F.col("shared").cast("int").alias("shared"), (F.col("shared") / F.col("words")).alias("share"))
+
+
+def _shards(base: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(passages, their classes on routes of several records, number of shards)."""
+    passages = materialize(routed_passages(base))
+    classes = passages.groupBy("route", "passage").agg(F.count("*").alias("n")).withColumn("class", F.xxhash64("route", "passage"))
+    several = classes.groupBy("route").agg(F.count("*").alias("passages"), F.sum("n").alias("n")).where("n > 1")
+    classes = materialize(classes.select("route", "passage", "class").join(several.select("route", "passages"), "route"))
+    return passages, classes, max(1, classes.where("passages > 1").count() * (2 * SPAN - ANCHOR) // SHARD_WORDS)
+
+
 def sample_statistics(docs: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "_text", sample_key: str = "sample_id", sample_text: str = "text", most_words: int = 2_000_000) -> DataFrame:
     """(sample, longest, doc): for each sample the longest run of words that a record holds too, and the least record that holds it.
 
