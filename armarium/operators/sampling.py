@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, small
 from .corpus import running_sum
 
 
@@ -54,3 +54,25 @@ def longest_matches(probes: DataFrame, docs: DataFrame, k: int = 8) -> DataFrame
     runs = hits.withColumn("island", F.col("i") - F.row_number().over(w)).groupBy("probe", "doc", "diag", "island").agg((F.count("*") + k - 1).alias("n"))
     best = runs.groupBy("probe").agg(F.max("n").alias("n"))
     return probes.select("probe").distinct().join(best, "probe", "left").select("probe", F.coalesce("n", F.lit(0)).cast("bigint").alias("words"))
+
+
+def longest_runs(probes: DataFrame, docs: DataFrame, k: int = 8) -> DataFrame:
+    """(probe, words): the longest run of words of each probe that some document holds too, however short.
+
+    Same inputs as longest_matches, which serves all runs of k words or more. For the probes it leaves at 0 it is
+    enough to know which of their runs of 1 to k - 1 words stand in any document, so no places are paired for those.
+    """
+    long = materialize(longest_matches(probes, docs, k))
+    left = probes.join(small(long.where("words = 0").select("probe")), "probe", "left_semi")
+
+    def runs(df, *keys):
+        at = df.select(*keys, "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
+        most = F.least(F.lit(k - 1), F.size("words") - F.col("at"))
+        each = at.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), most), lambda n: F.slice("words", F.col("at") + 1, n))).alias("s"))
+        return each.withColumn("h", F.xxhash64("s"))
+
+    a = materialize(runs(left.where("size(words) > 0"), "probe").distinct())
+    wanted = small(a.select("h", F.col("s").alias("s2")).distinct())
+    held = runs(docs.where("size(words) > 0")).join(wanted, "h").where("s = s2").select("h", "s").distinct()
+    best = a.join(held, ["h", "s"]).groupBy("probe").agg(F.max(F.size("s")).cast("bigint").alias("n"))
+    return long.join(best, "probe", "left").select("probe", F.greatest("words", F.coalesce("n", F.lit(0))).alias("words"))

@@ -133,4 +133,4 @@ def contamination_longest_match(spark, sf):
     split = lambda c: F.filter(F.split(c, r"[ \t\n]+"), lambda x: x != "").alias("words")
     probes = table(spark, sf, "heldout_items").where("text is not null").select(F.col("item_id").alias("probe"), split("text"))
     docs = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("doc"), split("text"))
-    return sampling.longest_matches(probes, docs)
+    return sampling.longest_runs(probes, docs)

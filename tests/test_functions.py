@@ -129,6 +129,17 @@ def test_longest_match_is_exact(spark):
         assert got[i] == best
 
 
+def test_longest_run_has_no_floor(spark):
+    import random
+
+    rnd = random.Random(14)
+    docs = [(i, [rnd.choice("abcdefghijkl") for _ in range(rnd.randrange(0, 40))]) for i in range(8)] + [(90, None)]
+    probes = [(i, [rnd.choice("abcdefghijkl") for _ in range(rnd.randrange(1, 30))]) for i in range(8)] + [(20, ["z", "a", "z"]), (21, ["z"]), (22, []), (23, docs[1][1][:20])]
+    got = {r.probe: r.words for r in sampling.longest_runs(spark.createDataFrame(probes, "probe int, words array<string>"), spark.createDataFrame(docs, "doc int, words array<string>"), 5).collect()}
+    want = {i: max((n for n in range(1, len(p) + 1) for a in range(len(p) - n + 1) for _, d in docs if d for b in range(len(d) - n + 1) if p[a : a + n] == d[b : b + n]), default=0) for i, p in probes}
+    assert got == want and {0, 1, 2, 3} <= set(want.values()) and max(want.values()) >= 5
+
+
 def test_merged_groups_are_components(spark):
     import random
 
