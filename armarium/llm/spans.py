@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -313,26 +315,34 @@ def sample_statistics(docs: DataFrame, samples: DataFrame, key: str = "doc_id",
                 automaton.add(w)
             state["at"] = automaton, automaton.owners([w for _, w in shared.value], 1)
         automaton, owners = state["at"]
-        best: dict[int, tuple[int, int]] = {}
+        reach: dict[int, tuple[int, int]] = {}
+        least: dict[int, int] = {}
         for k, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-            before = (0, 0)
             top: dict[int, int] = {}
-            for now in [*automaton.statistics(t.split()), (0, 0)]:
-                # only where a match ends can it be the longest
-                if now[1] <= before[1] and before[1]:
-                    s, n = before
-                    while s > 0 and n > 0:
-                        for i in owners[s]:
-                            if n > top.get(i, 0):
-                                top[i] = n
-                        if n < 3:
-                            break
-                        s = automaton.link[s]
-                        n = min(n, automaton.length[s])
-                before = now
-            for i, n in top.items():
-                if (n, -k) > best.get(i, (0, 0)):
-                    best[i] = (n, -k)
+            for s, n in automaton.statistics(t.split()):
+                if n > top.get(s, 0):
+                    top[s] = n
+            for s, n in top.items():
+                if s not in reach or (n, -k) > reach[s]:
+                    reach[s] = n, -k
+                if s not in least or -k > least[s]:
+                    least[s] = -k
+        # a match holds its suffixes too, whose owners may be other samples: states pass on to their links, longest first
+        queue = [(-automaton.length[s], s) for s in reach]
+        heapify(queue)
+        best: dict[int, tuple[int, int]] = {}
+        while queue:
+            _, s = heappop(queue)
+            for i in owners[s]:
+                if reach[s] > best.get(i, (0, 0)):
+                    best[i] = reach[s]
+            up = automaton.link[s]
+            if up > 0:
+                if up not in reach:
+                    reach[up], least[up] = (0, 0), least[s]
+                    heappush(queue, (-automaton.length[up], up))
+                least[up] = max(least[up], least[s])
+                reach[up] = max(reach[up], (automaton.length[up], least[s]))
         return {"sample": [shared.value[i][0] for i in best], "longest": [n for n, _ in best.values()], "doc": [-k for _, k in best.values()]} if best else None
 
     found = arrow_map(keyed(docs, key, text), f"sample {kinds[0]}, longest int, doc {kinds[1]}", per_batch)

@@ -99,6 +99,20 @@ def test_longest_match_of_samples(spark):
         assert got.get(k, 0) == best
 
 
+def test_longest_match_of_nested_samples(spark):
+    rnd = random.Random(16)
+    word = lambda: rnd.choice("abcdefgh")
+    docs = [(7, "a b c d e"), (3, "q b c d r"), (5, "s t")] + [(10 + i, " ".join(word() for _ in range(15))) for i in range(6)]
+    samples = [(100, "a b c d e"), (101, "b c d x"), (102, "s t"), (103, "t u")] + [(110 + i, " ".join(word() for _ in range(10))) for i in range(8)]
+    d, s = spark.createDataFrame(docs, "doc_id long, _text string"), spark.createDataFrame(samples, "sample_id long, text string")
+    got = {r.sample: (r.longest, r.doc) for r in spans.sample_statistics(d, s).collect()}
+    for k, t in samples:
+        w = t.split()
+        holds = [(n, -doc) for n in range(1, len(w) + 1) for i in range(len(w) - n + 1) for doc, x in docs if f" {' '.join(w[i:i+n])} " in f" {x} "]
+        n, doc = max(holds)
+        assert got[k] == (n, -doc)
+
+
 def altered(rnd, v, text, share):
     w = text.split()
     for i in rnd.sample(range(len(w)), int(len(w) * share)):
