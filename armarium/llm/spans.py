@@ -280,7 +280,7 @@ def shared_words(docs: DataFrame, key: str = "key", text: str = "text") -> DataF
     w = Window.partitionBy("key").orderBy("b", "e").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.lit(0), F.col("e") - F.greatest("b", F.coalesce(F.max("e").over(w), F.lit(0))))
     sums = at.withColumn("new", new).groupBy("key").agg(F.sum("new").alias("shared"))
-    lengths = base.groupBy("key").agg(F.max(F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)\\s+", " ")), " "))).alias("words"))
+    lengths = base.groupBy("key").agg(F.max(F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]+", " ")), " "))).alias("words"))
     return sums.join(lengths, "key").select("key", "words", F.col("shared").cast("int").alias("shared"), (F.col("shared") / F.col("words")).alias("share"))
 
 

@@ -113,6 +113,13 @@ def test_longest_match_of_nested_samples(spark):
         assert got[k] == (n, -doc)
 
 
+def test_shared_words_of_texts_in_lines(spark):
+    span = [f"w{i}" for i in range(30)]
+    rows = [(1, "\n".join(span[:20]) + "\t" + "  ".join(span[20:]) + "\n\nfinis hic\u00a0est\x1cnunc "), (2, " ".join(span)), (3, "unum\nduo")]
+    got = {r.key: (r.words, r.shared, round(r.share, 6)) for r in spans.shared_words(spark.createDataFrame(rows, "key long, text string")).collect()}
+    assert got == {1: (34, 30, round(30 / 34, 6)), 2: (30, 30, 1.0)}
+
+
 def altered(rnd, v, text, share):
     w = text.split()
     for i in rnd.sample(range(len(w)), int(len(w) * share)):
