@@ -231,6 +231,17 @@ def test_pages_are_read(spark):
     assert scans.scan_noise(d.limit(0)).count() == 0
 
 
+def test_misread_words_seen_twice_where_all_are_pages(spark):
+    rnd, v = random.Random(15), [w for w in vocabulary(300, 31) if len(w) > 4]
+    right, wrong = "fenestram", "fcnestram"
+    assert wrong in scans.neighbours(right, 1)
+    rows = [(i, "Pagina_Opus.djvu_%d.txt" % i, text_of(rnd, v, 40) + f" {right} " + text_of(rnd, v, 10)) for i in range(40)]
+    rows += [(100 + i, "Pagina_Opus.djvu_%d.txt" % i, f"{v[i]} {wrong} {v[i + 2]}") for i in range(3)]
+    d = spark.createDataFrame(rows, "doc_id long, path string, _text string")
+    got = {(r.key, r.printed, r.repaired) for r in scans.scan_noise(d).where("kind = 'misread'").collect()}
+    assert got >= {(100 + i, wrong, right) for i in range(3)} and not [x for x in got if x[1] == right]
+
+
 def test_subjects(spark):
     rnd = random.Random(12)
     topics = {s: vocabulary(30, seed) for s, seed in (("law", 21), ("medicine", 22), ("war", 23))}
