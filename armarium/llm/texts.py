@@ -62,11 +62,20 @@ def folded_words(text: str) -> list[str]:
     return plain(text).encode("ascii", "replace").translate(_FOLDED, _EDITORS).decode("ascii").split()
 
 
+def joined(text: str) -> list[str]:
+    """Words as printed, those divided at line ends put together and tags taken out; folding them one by one gives folded_words."""
+    if "\n" in text:
+        text = _BROKEN.sub("", text)
+    if "<" in text:
+        text = _TAGS.sub("", text)
+    return text.split()
+
+
 def modern_share(ws: list[str]) -> float:
     """Share of modern function words among words (as printed)."""
     if not ws:
         return 0.0
-    return sum(map(MODERN_WORDS.__contains__, [w.strip(".,;:!?").lower() for w in ws])) / len(ws)
+    return sum(map(_MODERN.__getitem__, ws)) / len(ws)
 
 
 #: From this share of modern function words on, a text is in a modern language: Latin texts have next to
@@ -98,6 +107,9 @@ class Memo(dict):
         return value
 
 
+_MODERN = Memo(lambda w: w.strip(".,;:!?").lower() in MODERN_WORDS)
+
+
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of every k consecutive entries (empty if there are fewer)."""
     n = len(hashes) - k + 1
