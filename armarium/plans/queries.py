@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classification, cleaning, generation, mixtures, scoring, series, splits
+from . import classification, cleaning, generation, mixtures, scoring, series, splits, tokens
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

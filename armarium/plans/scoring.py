@@ -98,10 +98,14 @@ _TRAIN = "(SELECT doc_id, max(coalesce(weight, 0)) AS weight, max(coalesce(token
 _CDF = f"(SELECT doc_id, sum(weight * tokens) OVER (ORDER BY doc_id) / sum(weight * tokens) OVER () AS cdf FROM {_TRAIN})"
 
 
-def train_cdf(spark, sf):
+def train_records(spark, sf):
+    """(doc_id, weight, tokens) of every training record once."""
     d = table(spark, sf, "corpus_ledger").where("split = 'train' and not isnan(coalesce(weight, 0))")
-    d = d.groupBy("doc_id").agg(F.max(F.coalesce("weight", F.lit(0.0))).alias("weight"), F.max(F.coalesce("tokens", F.lit(0))).alias("tokens"))
-    return sampling.sampling_cdf(d, "doc_id")
+    return d.groupBy("doc_id").agg(F.max(F.coalesce("weight", F.lit(0.0))).alias("weight"), F.max(F.coalesce("tokens", F.lit(0))).alias("tokens"))
+
+
+def train_cdf(spark, sf):
+    return sampling.sampling_cdf(train_records(spark, sf), "doc_id")
 
 
 @query(f"SELECT doc_id, round(cdf, 6) AS cdf FROM {_CDF}")
