@@ -4,71 +4,103 @@ from __future__ import annotations
 
 # Authors by era, in order of precedence.
 AUTHORS_BY_ERA = {
-    "classical": """marcus tullius cicero, cicero, gaius iulius caesar, caesar, publius vergilius maro, vergilius, virgilius,
-        quintus horatius flaccus, horatius, publius ovidius naso, ovidius, titus livius, livius, cornelius tacitus, tacitus,
-        gaius valerius catullus, catullus, plinius, plinius maior, plinius minor, titus maccius plautus, plautus,
-        publius terentius afer, terentius, quintilianus, seneca, lucretius, sallustius, iuvenalis, martialis, propertius,
-        tibullus, persius, lucanus, statius, suetonius, apuleius, aulus gellius, varro, columella, vitruvius, celsus,
-        phaedrus, curtius rufus, valerius maximus, firmicus maternus""",
-    "late_antique": """hieronymus, augustinus, ambrosius, ambrosiaster, tertullianus, cyprianus, lactantius, rufinus, leo i,
-        leo magnus, petrus chrysologus, maximus, eusebius vercellensis, hilarius, prudentius, boethius, cassiodorus,
-        sidonius apollinaris, ennodius, orosius, sulpicius severus, ulfilas, vincentius lerinensis, iohannes cassianus,
-        salvianus, arnobius, venantius fortunatus, gregorius magnus, isidorus, isidorus hispalensis""",
-    "early_medieval": """rabanus maurus, hrabanus maurus, beda, beda venerabilis, alcuinus, hincmarus rhemensis,
-        haymo halberstatensis, paschasius radbertus, remigius antissiodorensis, atto vercellensis, joannes scotus erigena,
-        iohannes scotus erigena, odo cluniacensis, flodoardus remensis, angelomus luxovensis, ado viennensis,
-        ratherius veronensis, freculphus lexovensis, nicolaus i, walahfrid strabo, einhardus, paulus diaconus, smaragdus,
-        florus lugdunensis, agobardus, hrothsuita gandersheimensis, gregorius turonensis, aldhelmus, theodulfus, amalarius,
-        sedulius scottus, lupus servatus, ionas aurelianensis, prudentius trecensis""",
-    "high_medieval": """anselmus laudunensis, anselmus cantuariensis, urbanus ii, paschalis ii, innocentius ii, eugenius iii,
-        bernardus claraevallensis, petrus abaelardus, petrus lombardus, hugo de sancto victore, thomas aquinas, bonaventura,
-        albertus magnus, ivo carnotensis, petrus damiani, rupertus tuitiensis, honorius augustodunensis, gratianus,
-        petrus comestor, guillelmus durandus, iohannes saresberiensis""",
-    "late_medieval": """guillelmus de ockham, iohannes buridanus, duns scotus, boccaccio, petrarca, franciscus petrarcha,
-        thomas a kempis, iohannes gerson""",
-    "neo_latin": """erasmus, desiderius erasmus, pius ii, aeneas silvius piccolomini, thomas morus, nicolaus copernicus,
-        galileo galilei, isaac newtonus, franciscus baconus, spinoza, leonhardus euler, carolus linnaeus, iohannes kepler,
-        rene descartes, melanchthon, lutherus, calvinus, sebastianus castellio, ioannes ludovicus vives""",
-}
+    "classical": (
+        "marcus tullius cicero", "cicero", "gaius iulius caesar", "caesar", "publius vergilius maro", "vergilius", "virgilius",
+        "quintus horatius flaccus", "horatius", "publius ovidius naso", "ovidius", "titus livius", "livius", "cornelius tacitus", "tacitus",
+        "gaius valerius catullus", "catullus", "plinius", "plinius maior", "plinius minor", "titus maccius plautus", "plautus",
+        "publius terentius afer", "terentius", "quintilianus", "seneca", "lucretius", "sallustius", "iuvenalis", "martialis", "propertius",
+        "tibullus", "persius", "lucanus", "statius", "suetonius", "apuleius", "aulus gellius", "varro", "columella", "vitruvius", "celsus",
+        "phaedrus", "curtius rufus", "valerius maximus", "firmicus maternus",
+    ),
+    "late_antique": (
+        "hieronymus", "augustinus", "ambrosius", "ambrosiaster", "tertullianus", "cyprianus", "lactantius", "rufinus", "leo i", "leo magnus",
+        "petrus chrysologus", "maximus", "eusebius vercellensis", "hilarius", "prudentius", "boethius", "cassiodorus", "sidonius apollinaris",
+        "ennodius", "orosius", "sulpicius severus", "ulfilas", "vincentius lerinensis", "iohannes cassianus", "salvianus", "arnobius",
+        "venantius fortunatus", "gregorius magnus", "isidorus", "isidorus hispalensis",
+    ),
+    "early_medieval": (
+        "rabanus maurus", "hrabanus maurus", "beda", "beda venerabilis", "alcuinus", "hincmarus rhemensis", "haymo halberstatensis",
+        "paschasius radbertus", "remigius antissiodorensis", "atto vercellensis", "joannes scotus erigena", "iohannes scotus erigena",
+        "odo cluniacensis", "flodoardus remensis", "angelomus luxovensis", "ado viennensis", "ratherius veronensis", "freculphus lexovensis",
+        "nicolaus i", "walahfrid strabo", "einhardus", "paulus diaconus", "smaragdus", "florus lugdunensis", "agobardus",
+        "hrothsuita gandersheimensis", "gregorius turonensis", "aldhelmus", "theodulfus", "amalarius", "sedulius scottus", "lupus servatus",
+        "ionas aurelianensis", "prudentius trecensis",
+    ),
+    "high_medieval": (
+        "anselmus laudunensis", "anselmus cantuariensis", "urbanus ii", "paschalis ii", "innocentius ii", "eugenius iii",
+        "bernardus claraevallensis", "petrus abaelardus", "petrus lombardus", "hugo de sancto victore", "thomas aquinas", "bonaventura",
+        "albertus magnus", "ivo carnotensis", "petrus damiani", "rupertus tuitiensis", "honorius augustodunensis", "gratianus", "petrus comestor",
+        "guillelmus durandus", "iohannes saresberiensis",
+    ),
+    "late_medieval": (
+        "guillelmus de ockham", "iohannes buridanus", "duns scotus", "boccaccio", "petrarca", "franciscus petrarcha", "thomas a kempis",
+        "iohannes gerson",
+    ),
+    "neo_latin": (
+        "erasmus", "desiderius erasmus", "pius ii", "aeneas silvius piccolomini", "thomas morus", "nicolaus copernicus", "galileo galilei",
+        "isaac newtonus", "franciscus baconus", "spinoza", "leonhardus euler", "carolus linnaeus", "iohannes kepler", "rene descartes",
+        "melanchthon", "lutherus", "calvinus", "sebastianus castellio", "ioannes ludovicus vives",
+    ),
+}
 
 # Titles by era; of equal lengths the earlier one counts.
 TITLES_BY_ERA = (
-    ("late_antique", """de civitate dei, enarrationes in psalmos, in evangelium ioannis tractatus, in ioannis evangelium tractatus,
-        contra iulianum, opus imperfectum contra, confessiones, de doctrina christiana, de trinitate, retractationes"""),
-    ("neo_latin", "dissertationes de historia pelagiana"),
-    ("late_antique", """moralia, in vergilii aeneidem commentarii, etymologiarum libri, institutiones divinarum,
-        de consolatione philosophiae, historia ecclesiastica, vulgata, biblia sacra, codex amiatinus"""),
-    ("classical", """ab urbe condita, naturalis historia, de institutione oratoria, de bello gallico, de bello civili,
-        de re coquinaria, de lingua latina, de architectura, strategemata, mathesis, metamorphoses, de rerum natura,
-        de viris illustribus urbis romae"""),
-    ("high_medieval", """summa theologiae, summa contra gentiles, historia scholastica, logica ingredientibus,
-        historia regum britanniae, libri v decretalium, collectio decretalium"""),
-    ("early_medieval", "de divisione naturae"),
-    ("high_medieval", "sermones in canticum canticorum"),
-    ("late_medieval", """summa logicae, summulae de dialectica, quaestiones subtilissimae in metaphysicen,
-        de genealogiis deorum gentilium, malleus maleficarum, de imitatione christi"""),
-    ("neo_latin", """erasmi colloquia, de revolutionibus orbium, discorsi e dimostrazioni, le opere di galileo,
-        ad exercitia linguae latinae dialogi, de interpretatione recta"""),
-    ("compilation", """gallia christiana, patrologia latina, enchiridion symbolorum, regesta sive epistolae, acta sanctorum,
-        monumenta germaniae, concilium, missale mixtum, liber sacramentorum, hymni ecclesiae, eclogae latinae"""),
+    ("late_antique", (
+        "de civitate dei", "enarrationes in psalmos", "in evangelium ioannis tractatus", "in ioannis evangelium tractatus", "contra iulianum",
+        "opus imperfectum contra", "confessiones", "de doctrina christiana", "de trinitate", "retractationes",
+    )),
+    ("neo_latin", (
+        "dissertationes de historia pelagiana",
+    )),
+    ("late_antique", (
+        "moralia", "in vergilii aeneidem commentarii", "etymologiarum libri", "institutiones divinarum", "de consolatione philosophiae",
+        "historia ecclesiastica", "vulgata", "biblia sacra", "codex amiatinus",
+    )),
+    ("classical", (
+        "ab urbe condita", "naturalis historia", "de institutione oratoria", "de bello gallico", "de bello civili", "de re coquinaria",
+        "de lingua latina", "de architectura", "strategemata", "mathesis", "metamorphoses", "de rerum natura", "de viris illustribus urbis romae",
+    )),
+    ("high_medieval", (
+        "summa theologiae", "summa contra gentiles", "historia scholastica", "logica ingredientibus", "historia regum britanniae",
+        "libri v decretalium", "collectio decretalium",
+    )),
+    ("early_medieval", (
+        "de divisione naturae",
+    )),
+    ("high_medieval", (
+        "sermones in canticum canticorum",
+    )),
+    ("late_medieval", (
+        "summa logicae", "summulae de dialectica", "quaestiones subtilissimae in metaphysicen", "de genealogiis deorum gentilium",
+        "malleus maleficarum", "de imitatione christi",
+    )),
+    ("neo_latin", (
+        "erasmi colloquia", "de revolutionibus orbium", "discorsi e dimostrazioni", "le opere di galileo", "ad exercitia linguae latinae dialogi",
+        "de interpretatione recta",
+    )),
+    ("compilation", (
+        "gallia christiana", "patrologia latina", "enchiridion symbolorum", "regesta sive epistolae", "acta sanctorum", "monumenta germaniae",
+        "concilium", "missale mixtum", "liber sacramentorum", "hymni ecclesiae", "eclogae latinae",
+    )),
 )
 
 # Works of the canon, found anywhere in a work's name.
-CANON = """de bello gallico, de bello civili, ab urbe condita, naturalis historia, de officiis, de oratore, de finibus,
-    de natura deorum, tusculanae, epistulae, de re publica, de legibus, de amicitia, de senectute, in catilinam, pro milone,
-    philippicae, brutus, orator, annales, historiae, germania, agricola, de institutione oratoria, bellum catilinae,
-    bellum iugurthinum, de architectura, de lingua latina, de re rustica, strategemata, factorum ac dictorum,
-    aeneis, aeneid, georgica, bucolica, eclogae, metamorphoses, ars amatoria, fasti, tristia, heroides, carmina, odae, epodi,
-    satirae, saturae, epistulae ex ponto, de rerum natura, pharsalia, thebais, silvae, epigrammata, elegiae, punica,
-    argonautica, amphitruo, aulularia, menaechmi, miles gloriosus, captivi, mostellaria, rudens, pseudolus, andria,
-    eunuchus, adelphoe, phormio, hecyra, heautontimorumenos, medea, phaedra, thyestes, oedipus, confessiones,
-    de civitate dei, de trinitate, de doctrina christiana, vulgata, biblia sacra, de consolatione philosophiae,
-    etymologiarum, regula, moralia, historia ecclesiastica, adversus haereses, divinae institutiones, apologeticum,
-    summa theologiae, summa contra gentiles, sic et non, historia calamitatum, cur deus homo, proslogion, monologion,
-    de divisione naturae, historia regum britanniae, gesta francorum, chronica majora, sententiae, didascalicon,
-    policraticus, summa logicae, carmina burana, dies irae, stabat mater, encomium moriae, colloquia familiaria, adagia,
-    utopia, de revolutionibus orbium, sidereus nuncius, principia, novum organum, ethica,
-    meditationes de prima philosophia, systema naturae"""
+CANON = (
+    "de bello gallico", "de bello civili", "ab urbe condita", "naturalis historia", "de officiis", "de oratore", "de finibus", "de natura deorum",
+    "tusculanae", "epistulae", "de re publica", "de legibus", "de amicitia", "de senectute", "in catilinam", "pro milone", "philippicae", "brutus",
+    "orator", "annales", "historiae", "germania", "agricola", "de institutione oratoria", "bellum catilinae", "bellum iugurthinum",
+    "de architectura", "de lingua latina", "de re rustica", "strategemata", "factorum ac dictorum", "aeneis", "aeneid", "georgica", "bucolica",
+    "eclogae", "metamorphoses", "ars amatoria", "fasti", "tristia", "heroides", "carmina", "odae", "epodi", "satirae", "saturae",
+    "epistulae ex ponto", "de rerum natura", "pharsalia", "thebais", "silvae", "epigrammata", "elegiae", "punica", "argonautica", "amphitruo",
+    "aulularia", "menaechmi", "miles gloriosus", "captivi", "mostellaria", "rudens", "pseudolus", "andria", "eunuchus", "adelphoe", "phormio",
+    "hecyra", "heautontimorumenos", "medea", "phaedra", "thyestes", "oedipus", "confessiones", "de civitate dei", "de trinitate",
+    "de doctrina christiana", "vulgata", "biblia sacra", "de consolatione philosophiae", "etymologiarum", "regula", "moralia",
+    "historia ecclesiastica", "adversus haereses", "divinae institutiones", "apologeticum", "summa theologiae", "summa contra gentiles",
+    "sic et non", "historia calamitatum", "cur deus homo", "proslogion", "monologion", "de divisione naturae", "historia regum britanniae",
+    "gesta francorum", "chronica majora", "sententiae", "didascalicon", "policraticus", "summa logicae", "carmina burana", "dies irae",
+    "stabat mater", "encomium moriae", "colloquia familiaria", "adagia", "utopia", "de revolutionibus orbium", "sidereus nuncius", "principia",
+    "novum organum", "ethica", "meditationes de prima philosophia", "systema naturae",
+)
 
 # Beginnings of title words by genre, the first genre that fits counts.
 GENRES = (
@@ -117,14 +149,10 @@ PROFILES = {
 }
 
 
-def names(text: str) -> list[str]:
-    return [" ".join(x.split()) for x in text.split(",")]
-
-
 def author_era() -> list[tuple[str, str]]:
-    return [(a, era) for era, text in AUTHORS_BY_ERA.items() for a in names(text)]
+    return [(a, era) for era, authors in AUTHORS_BY_ERA.items() for a in authors]
 
 
 def title_era() -> list[tuple[str, str]]:
     """Longest titles first."""
-    return sorted(((t, era) for era, text in TITLES_BY_ERA for t in names(text)), key=lambda x: -len(x[0]))
+    return sorted(((t, era) for era, titles in TITLES_BY_ERA for t in titles), key=lambda x: -len(x[0]))

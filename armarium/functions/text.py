@@ -141,7 +141,7 @@ def genre(title: Column) -> Column:
 
 
 def is_canonical(work: Column) -> Column:
-    return F.lower(work).rlike("|".join(fixed.names(fixed.CANON)))
+    return F.lower(work).rlike("|".join(fixed.CANON))
 
 
 def verse_signal(text: Column, is_scan: Column) -> Column:

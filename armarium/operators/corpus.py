@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..runtime import materialize
 
 
-def running_sum(df: DataFrame, order: list[str], value: str, name: str, by: list[str] | None = None, buckets: int = 256) -> DataFrame:
+def running_sum(df: DataFrame, order: list[str], value: str, name: str, by: list[str] | None = None) -> DataFrame:
     """df with the sum of `value` over the rows before, in order and within `by`: a prefix sum in two levels.
 
     Rows are range-partitioned by the order; totals of the partitions are summed by one small
@@ -16,14 +16,14 @@ def running_sum(df: DataFrame, order: list[str], value: str, name: str, by: list
     """
     by = by or []
     keys = [*by, *order]
-    ranged = materialize(df.repartitionByRange(min(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys).withColumn("__part", F.spark_partition_id()))
+    ranged = materialize(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).withColumn("__part", F.spark_partition_id()))
     totals = ranged.groupBy("__part", *by).agg(F.sum(value).alias("__sum"))
     base = totals.withColumn("__base", F.sum("__sum").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).drop("__sum")
     inside = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     same = F.lit(True)
     for c in ["__part", *by]:
         same &= F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}"))
-    joined = ranged.withColumn("__in", F.sum(value).over(inside)).alias("r").join(F.broadcast(base.alias("b")), same, "left")
+    joined = ranged.withColumn("__in", F.sum(value).over(inside)).alias("r").join(base.alias("b") if by else F.broadcast(base.alias("b")), same, "left")
     zero = F.lit(0)
     return joined.select(*[F.col(f"r.{c}") for c in df.columns], (F.coalesce("__base", zero) + F.coalesce("__in", zero)).alias(name))
 
@@ -50,8 +50,11 @@ def merged_groups(df: DataFrame, group: str = "work_group", digest: str = "conte
         after = labels.join(hop, "g", "left").select("g", F.least("l", F.coalesce("m", "l")).alias("l"))
         # pointer jumping: a label takes its own label, which halves the way
         jump = after.select(F.col("g").alias("l"), F.col("l").alias("j"))
-        after = materialize(after.join(jump, "l", "left").select("g", F.least("l", F.coalesce("j", "l")).alias("l")))
-        if after.exceptAll(labels).isEmpty():
+        after = after.join(jump, "l", "left").select("g", F.least("l", F.coalesce("j", "l")).alias("l"))
+        after = materialize(after.join(labels.select("g", F.col("l").alias("o")), "g").select("g", "l", (F.col("l") != F.col("o")).alias("moved")))
+        moved = not after.where("moved").isEmpty()
+        after = after.select("g", "l")
+        if not moved:
             return after.select(F.col("g").alias(group), F.col("l").alias("merged"))
         labels = after
 
@@ -82,3 +85,12 @@ def uniform(*parts: Column | str) -> Column:
     """A number in [0, 1) from a hash of the parts, the same in every run and engine."""
     digest = F.md5(F.concat_ws(":", *[F.col(p) if isinstance(p, str) else p for p in parts]))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
+
+
+def positional_join(left: DataFrame, left_order: list[str], right: DataFrame, right_order: list[str]) -> DataFrame:
+    """Rows of equal rank side by side, with their rank r; sides of unequal lengths are an error."""
+    n, m = left.count(), right.count()
+    if n != m:
+        raise ValueError(f"{n} and {m} rows can't be joined by position")
+    one = lambda d, order: running_sum(d.withColumn("__one", F.lit(1)), order, "__one", "r").drop("__one").withColumn("r", F.col("r").cast("bigint"))
+    return one(left, left_order).join(one(right, right_order), "r")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 def _row():
@@ -40,3 +40,35 @@ def repetition_penalty(df: DataFrame, seen: DataFrame, penalty: float) -> DataFr
     hit = df.join(seen.select("row_id", "token_id").distinct().withColumn("__s", F.lit(True)), ["row_id", "token_id"], "left")
     x = F.col("logit")
     return hit.withColumn("logit", F.when(F.col("__s").isNull(), x).when(x > 0, x / penalty).otherwise(x * penalty)).drop("__s")
+
+
+def recent(history: Column, n: int = 64) -> Column:
+    """The distinct tokens among the last n of a history; none of a null one."""
+    return F.coalesce(F.array_distinct(F.slice(history, -F.least(F.size(history), F.lit(n)), F.lit(n))), F.array().cast("array<int>"))
+
+
+def penalized(df: DataFrame, history: DataFrame, penalty: float, n: int = 64) -> DataFrame:
+    """repetition_penalty by what each row's history (row_id, history) holds in its last n tokens; 1 or less changes nothing."""
+    if penalty <= 1:
+        return df
+    return repetition_penalty(df, history.where(F.size("history") > 0).select("row_id", F.explode(recent(F.col("history"), n).cast("array<bigint>")).alias("token_id")), penalty)
+
+
+def stopped(ids: Column, eos: int) -> Column:
+    """A sequence of which all from the first end on is ends, so that rows keep their length."""
+    at = F.array_position(ids, F.lit(eos).cast("int")).cast("int")
+    return F.when(at > 0, F.concat(F.slice(ids, F.lit(1), at), F.array_repeat(F.lit(eos).cast("int"), F.size(ids) - at))).otherwise(ids)
+
+
+def transcript(turns: Column, trim=None) -> Column:
+    """The running text of a dialogue's turns, an array of (generated, text) in order.
+
+    What was generated is cut by `trim` (without it, the turn's own `cut` is taken) and appended; what a person adds follows a blank, unless one is there
+    already or nothing was said. A generated turn of blanks changes nothing.
+    """
+    def add(said: Column, turn: Column) -> Column:
+        cut = trim(turn["text"]) if trim else turn["cut"]
+        gap = F.when((said == "") | said.endswith(" "), "").otherwise(" ")
+        return F.when(turn["generated"], F.when(F.trim(F.translate(cut, "\n\t", "  ")) == "", said).otherwise(F.concat(said, cut))).otherwise(F.concat(said, gap, turn["text"]))
+
+    return F.aggregate(F.filter(turns, lambda x: x["text"].isNotNull()), F.lit(""), add)

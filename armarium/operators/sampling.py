@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, small
+from ..runtime import materialize, salted_join, small
 from .corpus import running_sum
 
 
@@ -17,12 +17,13 @@ def sampling_cdf(df: DataFrame, order: str, weight: str = "weight", tokens: str
     return summed.crossJoin(F.broadcast(total)).withColumn("cdf", (F.col("__before") + F.col("__mass")) / F.col("__total")).drop("__mass", "__before", "__total")
 
 
-def first_at_or_above(draws: DataFrame, points: DataFrame, partitions: int = 64) -> DataFrame:
+def first_at_or_above(draws: DataFrame, points: DataFrame, partitions: int | None = None) -> DataFrame:
     """(draw, u, key): for each draw the point with the least value >= u; of equal values the least key.
 
     draws: (draw, u), points: (key, value). Both are range-partitioned together by value; a draw
     behind the last point of its partition takes the first point of the next that has any.
     """
+    partitions = partitions or int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = points.select(F.col("value").alias("v"), F.lit(1).alias("side"), F.struct("value", "key").alias("p"), F.lit(None).cast("bigint").alias("draw")).unionByName(
         draws.select(F.col("u").alias("v"), F.lit(0).alias("side"), F.lit(None).cast(points.select(F.struct("value", "key").alias("p")).schema["p"].dataType).alias("p"), F.col("draw").cast("bigint").alias("draw"))
     )
@@ -48,8 +49,10 @@ def longest_matches(probes: DataFrame, docs: DataFrame, k: int = 8) -> DataFrame
         return df.where(F.size("words") >= k).select(F.col(key), "words", at).select(F.col(key), F.col("at").alias(p), F.slice("words", F.col("at") + 1, F.lit(k)).alias("s")).withColumn("h", F.xxhash64("s"))
 
     # hashes of the probes' runs meet the documents' first, so that only runs that may match are compared
-    a, b = shingles(probes, "probe", "i"), shingles(docs, "doc", "j").withColumnRenamed("s", "s2")
-    hits = b.join(a, "h").where("s = s2").select("probe", "doc", "i", (F.col("j") - F.col("i")).alias("diag")).distinct()
+    a, b = materialize(shingles(probes, "probe", "i")), shingles(docs, "doc", "j").withColumnRenamed("s", "s2")
+    few = small(a)
+    # where the probes' runs are few they go to the documents, whose own runs are then never shuffled; else hot hashes are split
+    hits = (b.join(few, "h") if few is not a else salted_join(b, a, "h")).where("s = s2").select("probe", "doc", "i", (F.col("j") - F.col("i")).alias("diag")).distinct()
     w = Window.partitionBy("probe", "doc", "diag").orderBy("i")
     runs = hits.withColumn("island", F.col("i") - F.row_number().over(w)).groupBy("probe", "doc", "diag", "island").agg((F.count("*") + k - 1).alias("n"))
     best = runs.groupBy("probe").agg(F.max("n").alias("n"))

@@ -51,7 +51,7 @@ _VOLUME = (
 _EXACT = "CASE author " + " ".join(f"WHEN '{a}' THEN '{e}'" for a, e in fixed.author_era()) + " END"
 _LONG = _first_of([x for x in fixed.author_era() if len(x[0]) > 8])
 _GENRE = "CASE " + " ".join(rf"WHEN regexp_matches(title, '(?i)\b({p})') THEN '{g}'" for g, p in fixed.GENRES) + " ELSE 'unknown' END"
-_CANON = "|".join(fixed.names(fixed.CANON))
+_CANON = "|".join(fixed.CANON)
 
 
 @query(
@@ -94,17 +94,30 @@ def verse_signal(spark, sf):
     return texts(spark, sf).select("doc_id", T.verse_signal(F.col("t"), F.col("scan")).alias("form"))
 
 
-@query()
+_FRAGMENT = (
+    rf"""SELECT doc_id, CASE WHEN n < 40 THEN 1.0 ELSE round(least(1.0, CASE WHEN n < 120 THEN 0.4 ELSE 0 END + CASE WHEN len(regexp_extract_all(s, '[.!?;:]')) / greatest(1.0, n / 100) < 2 THEN 0.3 ELSE 0 END
+    + CASE WHEN len(regexp_extract_all(s, '\.\.\.|\[\s*\.\.\.\s*\]|…|\*\*\*|†')) / greatest(1.0, n / 100) > 5 THEN 0.3 ELSE 0 END)::DOUBLE, 3) END::DOUBLE AS fragment_score
+    FROM (SELECT doc_id, {_strip("t")} AS s, {_N} AS n FROM {_TEXTS})"""
+)
+_RUN = r"[\p{L}\p{M}\p{N}_]+"
+_PLAUSIBLE = fixed.PLAUSIBLE.replace(r"\s", _B[1:-1]).replace("'", "''")
+_FOREIGN = ", ".join(f"'{w}'" for w in fixed.NON_LATIN.split("|"))
+_N2 = _N.replace(_strip("t"), _strip("p"))
+
+
+@query(
+    rf"""SELECT doc_id, CASE WHEN t = '' THEN 0.0 ELSE round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - odd / length(p)::DOUBLE - least(0.3::DOUBLE, broken / greatest(1, n)::DOUBLE))), 4) END AS ocr_quality,
+    CASE WHEN n = 0 THEN 0.0 ELSE round(1000.0::DOUBLE * nl / n, 3) END AS non_latin_per_1k, f.fragment_score FROM
+    (SELECT doc_id, t, p, {_N2} AS n, length(p) - length(regexp_replace(p, '[^{_PLAUSIBLE}]', '', 'g')) AS odd,
+    len(list_filter(regexp_extract_all(p, '{_RUN}'), lambda x: regexp_matches(x, '\p{{N}}.*[a-z]'))) AS broken, len(list_filter(regexp_extract_all(lower(p), '{_RUN}'), lambda x: x IN ({_FOREIGN}))) AS nl
+    FROM (SELECT doc_id, t, substr(t, 1, 200000) AS p FROM {_TEXTS})) JOIN ({_FRAGMENT}) f USING (doc_id)"""
+)
 def text_signals(spark, sf):
     t = F.col("t")
     return texts(spark, sf).select("doc_id", T.ocr_quality(t).alias("ocr_quality"), T.non_latin_per_1k(t).alias("non_latin_per_1k"), T.fragment_score(t).alias("fragment_score"))
 
 
-@query(
-    rf"""SELECT doc_id, CASE WHEN n < 40 THEN 1.0 ELSE round(least(1.0, CASE WHEN n < 120 THEN 0.4 ELSE 0 END + CASE WHEN len(regexp_extract_all(s, '[.!?;:]')) / greatest(1.0, n / 100) < 2 THEN 0.3 ELSE 0 END
-    + CASE WHEN len(regexp_extract_all(s, '\.\.\.|\[\s*\.\.\.\s*\]|…|\*\*\*|†')) / greatest(1.0, n / 100) > 5 THEN 0.3 ELSE 0 END)::DOUBLE, 3) END::DOUBLE AS fragment_score
-    FROM (SELECT doc_id, {_strip("t")} AS s, {_N} AS n FROM {_TEXTS})"""
-)
+@query(_FRAGMENT)
 def fragment_score(spark, sf):
     return texts(spark, sf).select("doc_id", T.fragment_score(F.col("t")).alias("fragment_score"))
 
@@ -141,3 +154,14 @@ def quality_flags(spark, sf):
         F.count("*").alias("docs"), n("non_latin_per_1k > 15").alias("suspects"), n("non_latin_per_1k > 40").alias("excluded"), n("ocr_quality < 0.9").alias("poor"),
         F.coalesce(F.sum(F.when(F.col("ocr_quality") < 0.9, F.col("b"))), F.lit(0)).cast("bigint").alias("poor_bytes"), n("chars >= 32").alias("long_enough"), n("chars >= 32 and fragment_score < 1").alias("whole"),
     )
+
+
+@query(
+    f"""SELECT count(*) AS docs, count(*) FILTER (length(t) < 200) AS shorts, count(*) FILTER (length(t) >= 200 AND s >= 0.7) AS fragments, count(*) FILTER (length(t) >= 200 AND s < 0.7) AS kept
+    FROM (SELECT doc_id, t, f.fragment_score AS s FROM {_TEXTS} JOIN ({_FRAGMENT}) f USING (doc_id))"""
+)
+def fragment_filter_report(spark, sf):
+    """Texts too short, and of the others fragments, counted apart."""
+    d = texts(spark, sf).select(F.length("t").alias("n"), T.fragment_score(F.col("t")).alias("s"))
+    short, fragment = F.col("n") < 200, F.col("s") >= 0.7
+    return d.agg(F.count("*").alias("docs"), F.count_if(short).alias("shorts"), F.count_if(~short & fragment).alias("fragments"), F.count_if(~short & ~fragment).alias("kept"))

@@ -89,6 +89,10 @@ def _orthography(spark, sf, level):
     return table(spark, sf, "documents").select("doc_id", F.sha1(T.orthography(F.col("text"), level).cast("binary")).alias("h"))
 
 
+#: Letters and digits as the engine's word boundaries see them.
+_L = r"\p{L}\p{M}\p{N}_"
+
+
 @query(f"SELECT doc_id, sha1({_BARE}) AS h FROM documents")
 def orthography_conservative(spark, sf):
     return _orthography(spark, sf, "conservative")
@@ -99,7 +103,12 @@ def orthography_classical(spark, sf):
     return _orthography(spark, sf, "classical")
 
 
-@query()
+_V = _g(rf"regexp_replace({_BARE}, '(^|[^{_L}])u([aeiouAEIOU])', '\1v\2', 'g')", rf"(^|[^{_L}])U([aeiouAEIOU])", r"\1V\2")
+_BETWEEN = "list_transform(range(1, len(l) + 1), lambda i: CASE WHEN l[i] = 'u' AND i > 1 AND i < len(l) AND contains('aeiou', l[i - 1]) AND contains('aeiou', l[i + 1]) THEN 'v' ELSE l[i] END)"
+_MODERN = _g(_g(f"array_to_string({_BETWEEN}, '')", rf"(^|[^{_L}])i([aeou])", r"\1j\2"), rf"(^|[^{_L}])I([aeou])", r"\1J\2")
+
+
+@query(f"SELECT doc_id, sha1({_MODERN}) AS h FROM (SELECT doc_id, string_split(t, '') AS l FROM (SELECT doc_id, {_V} AS t FROM documents))")
 def orthography_modern(spark, sf):
     return _orthography(spark, sf, "modern")
 
@@ -109,11 +118,12 @@ def _last(mark: str, keep: int) -> str:
     return f"WHEN strpos(text, '{mark}') > 0 AND {at} > length(text) * 0.7 THEN substr(text, 1, {at} + {keep})"
 
 
-@query(
-    "SELECT doc_id, length(o) AS kept, sha1(o) AS h FROM (SELECT doc_id, CASE "
-    + " ".join(_last(m, k) for m, k in (("\n\n", 2), ("\n", 1), (". ", 1), ("! ", 1), ("? ", 1)))
-    + rf" ELSE coalesce(nullif(regexp_extract(text, '(?s)^(.*{_B})', 1), ''), text) END AS o FROM (SELECT doc_id, text || ' et' AS text FROM documents))"
-)
+def trimmed_sql(text: str) -> str:
+    marks = " ".join(_last(m, k) for m, k in (("\n\n", 2), ("\n", 1), (". ", 1), ("! ", 1), ("? ", 1)))
+    return rf"(SELECT doc_id, text, CASE {marks} ELSE coalesce(nullif(regexp_extract(text, '(?s)^(.*{_B})', 1), ''), text) END AS o FROM (SELECT doc_id, {text} AS text FROM documents WHERE text IS NOT NULL))"
+
+
+@query("SELECT doc_id, length(o) AS kept, sha1(o) AS h FROM " + trimmed_sql("text || ' et'"))
 def trim_whitespace(spark, sf):
     cut = T.trim_to_whitespace(F.concat("text", F.lit(" et")))
     return table(spark, sf, "documents").select("doc_id", F.length(cut).cast("bigint").alias("kept"), F.sha1(cut.cast("binary")).alias("h"))

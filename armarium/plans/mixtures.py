@@ -75,6 +75,26 @@ def mixture_report(spark, sf):
     return r.select("field", "value", F.round("sampled", 4).alias("sampled"), F.round("raw", 4).alias("raw"), F.round("emphasis", 3).alias("emphasis"), F.round("epochs", 1).alias("epochs"), "high")
 
 
+@query(f"SELECT tier, count(*) AS docs FROM {_BASE.replace('coalesce(tokens, 0) AS t FROM corpus_ledger', "coalesce(tokens, 0) AS t FROM corpus_ledger WHERE split = 'train'")} GROUP BY tier")
+def train_tier_counts(spark, sf):
+    train = table(spark, sf, "corpus_ledger").where("split = 'train'").select("doc_id").distinct()
+    return records(spark, sf).join(train, "doc_id", "left_semi").groupBy("tier").agg(F.count("*").alias("docs"))
+
+
+@query(f"SELECT field || '=' || value AS worst, round(epochs, 1) AS epochs, epochs > 40 AS warn FROM {_REPORT} ORDER BY epochs DESC, field, value LIMIT 1")
+def mixture_warning(spark, sf):
+    """The stratum that a training run would see most often, and whether that is too often; eras come before genres."""
+    r = corpus.mixture_report(_weighted(spark, sf, "canonical").select("era", "genre", "weight", F.col("t").alias("tokens")), 1e8)
+    top = r.orderBy(F.desc("epochs"), "field", "value").limit(1)
+    return top.select(F.concat_ws("=", "field", "value").alias("worst"), F.round("epochs", 1).alias("epochs"), (F.col("epochs") > 40).alias("warn"))
+
+
+@query(f"SELECT doc_id, CASE WHEN q < 0.97::DOUBLE THEN 0.0 ELSE {_sql_weight(resolve_profile('balanced'))} END AS weight FROM {_BASE}")
+def weights_min_quality(spark, sf):
+    w = weight(resolve_profile("balanced"), F.col("tier"), F.col("era"), F.col("genre"), F.col("w"), F.col("q"), F.col("nl"), min_quality=0.97)
+    return records(spark, sf).select("doc_id", w.alias("weight"))
+
+
 @query(f"SELECT round(sum(weight * t) / sum(t), 6) AS expansion, count(*) FILTER (weight = 0) AS excluded, sum(t)::BIGINT AS tokens FROM {_W}")
 def mixture_expansion(spark, sf):
     d = _weighted(spark, sf, "canonical")

@@ -131,9 +131,32 @@ def eval_windows(spark, sf):
     return w.select("split", F.col("i").cast("bigint").alias("i"), F.floor(uniform(F.lit("3"), F.col("split"), F.col("i").cast("string")) * (F.col("n") - 512)).cast("bigint").alias("start"))
 
 
-@query()
+#: Pairs of neighbouring words that item and document share; on one diagonal in a row they are a longer run.
+_ITEM_WORDS = "(SELECT item_id AS probe, regexp_extract_all(text, '[^ \\t\\n]+') AS w FROM heldout_items WHERE text IS NOT NULL)"
+_LONGEST = f"""(WITH a AS (SELECT probe, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x, unnest(list_append(w[2:], NULL)) AS y FROM {_ITEM_WORDS}),
+    d AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS x, unnest(list_append(w[2:], NULL)) AS y FROM (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n]+') AS w FROM documents WHERE text IS NOT NULL)),
+    h AS (SELECT DISTINCT probe, doc_id, i, j - i AS g FROM a JOIN d ON a.x = d.x AND a.y = d.y),
+    r AS (SELECT probe, count(*) + 1 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY probe, doc_id, g ORDER BY i) AS s FROM h) GROUP BY probe, doc_id, g, s),
+    one AS (SELECT DISTINCT probe FROM a SEMI JOIN (SELECT DISTINCT x FROM d) k ON k.x = a.x)
+    SELECT q.probe, greatest(coalesce(max(r.n), 0), max(CASE WHEN one.probe IS NULL THEN 0 ELSE 1 END))::BIGINT AS words FROM {_ITEM_WORDS} q LEFT JOIN r ON r.probe = q.probe LEFT JOIN one ON one.probe = q.probe GROUP BY q.probe)"""
+
+
+@query(f"SELECT count(*) AS items, max(words) AS longest, median(words)::DOUBLE AS middle FROM {_LONGEST}")
+def contamination_summary(spark, sf):
+    """The longest of the items' longest runs and the middle one."""
+    return contamination_longest_match(spark, sf).agg(F.count("*").alias("items"), F.max("words").alias("longest"), F.median("words").cast("double").alias("middle"))
+
+
+@query("SELECT label, p AS readout, round(avg(l), 6) AS ce FROM (SELECT label, unnest(per_readout_ce) AS l, unnest(range(len(per_readout_ce))) AS p FROM (SELECT DISTINCT label, final_ce, per_readout_ce FROM eval_v2_baseline WHERE label IS NOT NULL)) GROUP BY label, p")
+def per_readout_mean(spark, sf):
+    """The mean of each readout over a label's results."""
+    d = table(spark, sf, "eval_v2_baseline").where("label is not null").select("label", "final_ce", "per_readout_ce").distinct()
+    return d.select("label", F.posexplode("per_readout_ce").alias("readout", "l")).groupBy("label", F.col("readout").cast("bigint").alias("readout")).agg(F.round(F.avg("l"), 6).alias("ce"))
+
+
+@query(f"SELECT probe, words FROM {_LONGEST}")
 def contamination_longest_match(spark, sf):
-    """Longest run of words of each held-out item in any document; tested against brute force."""
+    """Longest run of words of each held-out item in any document."""
     split = lambda c: F.filter(F.split(c, r"[ \t\n]+"), lambda x: x != "").alias("words")
     probes = table(spark, sf, "heldout_items").where("text is not null").select(F.col("item_id").alias("probe"), split("text"))
     docs = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("doc"), split("text"))

@@ -13,9 +13,17 @@ from .registry import query
 _GROUPS = f"(SELECT i.doc_id, i.work_id, CASE WHEN n > 1 AND author_hint IS NOT NULL THEN i.work_id || ' (' || author_hint || ')' ELSE i.work_id END AS work_group FROM {_IDENTITY} i LEFT JOIN (SELECT work_id, count(DISTINCT author_hint) AS n FROM {_IDENTITY} GROUP BY work_id) a ON a.work_id = i.work_id)"
 
 
-@query(f"SELECT work_id, count(DISTINCT author_hint) AS authors, count(*) AS docs FROM {_IDENTITY} GROUP BY work_id HAVING count(DISTINCT author_hint) > 1")
+#: Names with authors for the ledger's invented titles, which name none: by number of the document, in SQL too.
+_AUTHORED = "(SELECT doc_id, 'Carmina ' || (doc_id // 5 % 7) || CASE doc_id % 3 WHEN 0 THEN ' (Horatius)' WHEN 1 THEN ' (Venantius Fortunatus)' ELSE '' END || '_Liber ' || doc_id || '.txt' AS path FROM documents)"
+_NAMES = _IDENTITY.replace("corpus_ledger", _AUTHORED)
+
+
+@query(f"SELECT work_id, count(DISTINCT author_hint) AS authors, count(*) AS docs FROM {_NAMES} GROUP BY work_id HAVING count(DISTINCT author_hint) > 1")
 def ambiguous_titles(spark, sf):
-    return identified(spark, sf).groupBy("work_id").agg(F.count_distinct("author_hint").alias("authors"), F.count("*").alias("docs")).where("authors > 1")
+    hint = F.when(F.col("doc_id") % 3 == 0, " (Horatius)").when(F.col("doc_id") % 3 == 1, " (Venantius Fortunatus)").otherwise("")
+    name = F.concat(F.lit("Carmina "), F.floor(F.col("doc_id") / 5) % 7, hint, F.lit("_Liber "), F.col("doc_id"), F.lit(".txt"))
+    named = table(spark, sf, "documents").select(T.work_id(name).alias("work_id"), T.author_hint(name).alias("author_hint"))
+    return named.groupBy("work_id").agg(F.count_distinct("author_hint").alias("authors"), F.count("*").alias("docs")).where("authors > 1")
 
 
 @query(f"SELECT doc_id, work_group FROM {_GROUPS}")
@@ -73,10 +81,11 @@ def split_stats(spark, sf):
     return _split(spark, sf).rollup("split").agg(F.count("*").alias("docs"), F.count_distinct("group").alias("groups"), F.sum("bytes").cast("bigint").alias("bytes"))
 
 
-@query(_SPLIT + "SELECT \"group\" FROM labelled WHERE split = 'val' INTERSECT SELECT \"group\" FROM labelled WHERE split = 'train'")
+@query(_SPLIT + ", v2 AS (SELECT DISTINCT \"group\" FROM labelled WHERE split = 'val'), t2 AS (SELECT DISTINCT \"group\" FROM labelled WHERE split = 'train') SELECT (SELECT count(*) FROM v2) AS val_groups, (SELECT count(*) FROM t2) AS train_groups, (SELECT count(*) FROM (FROM v2 INTERSECT FROM t2)) AS in_both")
 def split_disjoint(spark, sf):
-    s = _split(spark, sf)
-    return s.where("split = 'val'").select("group").intersect(s.where("split = 'train'").select("group"))
+    """Groups of either split, and those of both, which must be none."""
+    g = _split(spark, sf).groupBy("group").agg(F.max((F.col("split") == "val").cast("int")).alias("v"), F.max((F.col("split") == "train").cast("int")).alias("t"))
+    return g.agg(F.sum("v").alias("val_groups"), F.sum("t").alias("train_groups"), F.sum(F.col("v") * F.col("t")).alias("in_both"))
 
 
 _KEPT = "(SELECT DISTINCT doc_id, split, tokens FROM corpus_ledger WHERE split IS NOT NULL AND tokens IS NOT NULL)"
@@ -94,14 +103,34 @@ def dense_ids(spark, sf):
     return corpus.running_sum(paths, ["path"], "one", "doc_no").select("path", F.col("doc_no").cast("bigint").alias("doc_no"))
 
 
-@query("SELECT count(*) AS n, sha1(string_agg(h, '' ORDER BY h)) AS fingerprint FROM (SELECT sha1(coalesce(p, 0) || ':' || n) AS h FROM (SELECT doc_id // 1000 AS p, count(*) AS n FROM documents GROUP BY 1))")
+@query("SELECT sum(n)::BIGINT AS n, sha1(string_agg(h, '' ORDER BY p)) AS fingerprint FROM (SELECT substr(h, 1, 4) AS p, count(*) AS n, sha1(string_agg(h, '' ORDER BY h)) AS h FROM (SELECT sha1(text) AS h FROM documents WHERE text IS NOT NULL) GROUP BY 1)")
 def dataset_fingerprint(spark, sf):
-    """Digests of shards, sorted and digested: the order of shards makes no difference."""
-    shards = table(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 1000).alias("p")).agg(F.count("*").alias("n"))
-    h = shards.select(F.sha1(F.concat_ws(":", "p", "n").cast("binary")).alias("h"))
-    return h.agg(F.count("*").alias("n"), F.sha1(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary")).alias("fingerprint"))
+    """Digests of all texts, sorted and digested in 65,536 ranges, then once more: order makes no difference, any changed text does."""
+    h = table(spark, sf, "documents").where("text is not null").select(F.sha1(F.col("text").cast("binary")).alias("h"))
+    digest = lambda c: F.sha1(F.array_join(c, "").cast("binary"))
+    ranges = h.groupBy(F.substring("h", 1, 4).alias("p")).agg(F.count("*").alias("n"), digest(F.array_sort(F.collect_list("h"))).alias("h"))
+    both = F.array_sort(F.collect_list(F.struct("p", "h")))
+    return ranges.agg(F.sum("n").alias("n"), digest(F.transform(both, lambda x: x["h"])).alias("fingerprint"))
+
+
+@query("SELECT doc_id, sha1(encode(text)[1:1024]) AS prefix, strlen(text)::BIGINT AS size FROM documents WHERE text IS NOT NULL")
+def prefix_fingerprint(spark, sf):
+    """The digest of a text's first 1,024 bytes, with its size: enough to notice another file."""
+    raw = F.col("text").cast("binary")
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.sha1(F.substring(raw, 1, 1024)).alias("prefix"), F.octet_length("text").cast("bigint").alias("size"))
 
 
 @query(r"SELECT count(*) AS files, count(*) FILTER (NOT regexp_matches(path, '\.__dup\d+__\.txt$')) AS originals FROM (SELECT DISTINCT path FROM corpus_ledger WHERE path IS NOT NULL)")
 def copy_exclusion(spark, sf):
     return table(spark, sf, "corpus_ledger").where("path is not null").select("path").distinct().agg(F.count("*").alias("files"), F.count_if(~T.is_copy(F.col("path"))).alias("originals"))
+
+
+_KEYED = "(SELECT DISTINCT doc_id, tokens, weight FROM corpus_ledger WHERE split = 'train' AND tokens IS NOT NULL)"
+
+
+@query(f"SELECT a.r, a.doc_id, a.tokens, round(b.weight, 6) AS weight FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS r, doc_id, tokens FROM {_KEYED}) a JOIN (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS r, weight FROM {_KEYED}) b ON a.r = b.r")
+def positional_weights(spark, sf):
+    """An index and a vector of weights of equal lengths, joined by position."""
+    d = table(spark, sf, "corpus_ledger").where("split = 'train' and tokens is not null").select("doc_id", "tokens", "weight").distinct()
+    both = corpus.positional_join(d.select("doc_id", "tokens"), ["doc_id"], d.select(F.col("doc_id").alias("at"), "weight"), ["at"])
+    return both.select("r", "doc_id", "tokens", F.round("weight", 6).alias("weight"))

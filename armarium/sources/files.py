@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +21,11 @@ DEFAULTS = {"ocr_quality": 1.0, "non_latin_per_1k": 0.0, "tier": 1, "era": "unkn
 def text_tree(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
     """(path, name, raw): every text file under root but copies, decoded leniently; path is relative to root."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
-    below = F.regexp_replace("path", "^.*?" + root.replace("\\", "/").rstrip("/").split("/")[-1].replace(".", r"\.") + "/", "")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    top = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/") + "/"
+    # readers may write file:///x for file:/x
+    at = F.regexp_replace("path", "^(\\w+):/+", "$1:/")
+    below = F.substring(at, len(re.sub(r"^(\w+):/+", r"\1:/", top)) + 1, 1 << 30)
     named = files.select(below.alias("path"), T.base_name(F.col("path")).alias("name"), T.decode(F.col("content")).alias("raw"))
     return named.where(~T.is_copy(F.col("name")))
 
@@ -61,3 +68,74 @@ def write_tokens(df: DataFrame, path: str) -> None:
 
 def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("errorifexists").json(path)
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_tokens(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """The token stream of a split as write_tokens left it; a missing table or an empty split is an error."""
+    if not _exists(spark, path):
+        raise FileNotFoundError(f"no tokens at {path}")
+    some = spark.read.parquet(path).where(F.col("split") == split)
+    if some.isEmpty():
+        raise ValueError(f"no tokens of split {split!r} in {path}")
+    return some
+
+
+def rewrite_ledger(spark: SparkSession, path: str, change) -> None:
+    """Replace a parquet ledger by change(ledger): written beside it, then swapped by renaming, so that a reader finds one or the other."""
+    new, old = path.rstrip("/") + ".new", path.rstrip("/") + ".old"
+    change(spark.read.parquet(path)).write.mode("overwrite").parquet(new)
+    (p, fs), (n, _), (o, _) = _fs(spark, path), _fs(spark, new), _fs(spark, old)
+    fs.delete(o, True)
+    if not (fs.rename(p, o) and fs.rename(n, p)):
+        raise OSError(f"{path} could not be swapped")
+    fs.delete(o, True)
+
+
+def prompts(spark: SparkSession, specs: list[str]) -> DataFrame:
+    """(i, prompt): literal texts, FILE:path read whole, and empty ones, from which a tokenizer makes its end alone."""
+    rows = []
+    for i, s in enumerate(specs):
+        if s.startswith("FILE:"):
+            found = spark.read.text(s[5:], wholetext=True).first()
+            s = found[0] if found else ""
+        rows.append((i, s))
+    return spark.createDataFrame(rows, "i int, prompt string")
+
+
+def write_meta(spark: SparkSession, path: str, meta: dict) -> None:
+    """One JSON object: sizes, special ids, where the tokenizer lies."""
+    p, fs = _fs(spark, path)
+    out = fs.create(p, False)
+    out.write(bytearray(json.dumps(meta, ensure_ascii=False, sort_keys=True).encode()))
+    out.close()
+
+
+def read_meta(spark: SparkSession, path: str) -> dict:
+    if not _exists(spark, path):
+        raise FileNotFoundError(f"no metadata at {path}")
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def special_ids(meta: dict) -> dict[str, int]:
+    """Recorded ids of the end and of padding; 0 and 1 where none are recorded."""
+    found = meta.get("special_tokens")
+    return found if isinstance(found, dict) and "eos" in found else {"eos": 0, "pad": 1}
+
+
+def tokenizer_path(spark: SparkSession, meta: dict, meta_path: str, default_dir: str, name: str = "tokenizer.json") -> str:
+    """The first that exists: the recorded path, taken from the metadata's folder if relative; its file name, then `name`, in the default folder."""
+    raw = (meta.get("tokenizer_config") or {}).get("file")
+    tried = []
+    if raw:
+        tried.append(raw if raw.startswith("/") or ":" in raw else f"{meta_path.rsplit('/', 1)[0]}/{raw}")
+        tried.append(f"{default_dir.rstrip('/')}/{raw.rsplit('/', 1)[-1]}")
+    tried.append(f"{default_dir.rstrip('/')}/{name}")
+    for p in tried:
+        if _exists(spark, p):
+            return p
+    raise FileNotFoundError("no tokenizer at " + ", ".join(tried))

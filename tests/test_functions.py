@@ -174,8 +174,11 @@ def test_build_keeps_works_in_one_split(spark, tmp_path):
     files.write_ledger(ledger, str(tmp_path / "ledger"))
     back = files.ledger(spark, str(tmp_path / "ledger"))
     assert back.count() == 48 and "_text" not in back.columns
+    placed = back.withColumn("token_offset", F.when(F.col("split") == "train", F.lit(0).cast("bigint")))
+    files.write_ledger(placed, str(tmp_path / "placed"))
+    assert files.ledger(spark, str(tmp_path / "placed"), "train").count() == ledger.where("split = 'train'").count()
     with pytest.raises(ValueError):
-        files.ledger(spark, str(tmp_path / "ledger"), "test") if "token_offset" in back.columns else (_ for _ in ()).throw(ValueError())
+        files.ledger(spark, str(tmp_path / "placed"), "val")
 
 
 def test_stream_keeps_groups_together(spark, tmp_path):
@@ -189,3 +192,127 @@ def test_stream_keeps_groups_together(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.table("ingested").collect()
     assert len(got) == 9 and all(len({r.split for r in got if r.work_id == w}) == 1 for w in {r.work_id for r in got})
+
+
+def test_pieces_and_round_trip(spark):
+    from armarium.operators import pieces
+
+    listed = [(0, "<eos>"), (1, "<unk>"), (2, "▁"), (3, "a"), (4, "b"), (5, "ab"), (6, "▁ab"), (7, "abba"), (8, "c"), (None, "zz"), (9, None)]
+    p = spark.createDataFrame(listed, "token_id int, piece string")
+    rows = [(1, "abba c"), (2, ""), (3, None), (None, "a"), (1, "abba c"), (4, "a\tx\nb"), (5, "ab " * 20_000)]
+    d = spark.createDataFrame(rows, "doc_id long, _text string").withColumn("key", F.lit("clash")).withColumn("ids", F.lit(1))
+    got = pieces.encode(d, p)
+    ids = {r.key: r.ids for r in got.collect()}
+    assert ids[1] == [6, 4, 3, 2, 8, 0] and ids[2] == [0] and ids[4] == [2, 3, 2, 1, 2, 4, 0] and set(ids) == {1, 2, 4, 5} and got.count() == 5
+    text = {r.key: r.text for r in pieces.decode(got, p).collect()}
+    assert text[1] == "abba c" and text[2] == "" and text[4] == "a <unk> b" and text[5] == ("ab " * 20_000).strip()
+    assert pieces.encode(d.limit(0), p).count() == 0
+
+
+@pytest.mark.skipif(not __import__("os").path.exists("/opt/tokenizers/byte_bpe_50k.json"), reason="no tokenizer files")
+def test_tokenizer_file_round_trip(spark):
+    from armarium.operators import pieces
+
+    path, texts = "/opt/tokenizers/byte_bpe_50k.json", ["arma virumque cano", "", "vēni  uidi\n<|endoftext|>", "x" * 5000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, _text string")
+    got = pieces.encode(d, path=path, eos=50256)
+    assert all(r.ids[-1] == 50256 and r.ids.count(50256) == 1 for r in got.collect())
+    assert {r.key: r.text for r in pieces.decode(got, path=path, eos=50256).collect()} == dict(enumerate(texts))
+
+
+def test_windows_cross_records(spark, monkeypatch):
+    from armarium.operators import pieces
+
+    monkeypatch.setattr(pieces, "BUCKET", 7)
+    import random
+
+    rnd, flat, rows = random.Random(3), {"train": [], "val": []}, []
+    for i in range(40):
+        s = rnd.choice(("train", "val"))
+        ids = [rnd.randrange(50) for _ in range(rnd.randrange(1, 25))]
+        rows.append((i, s, ids))
+        flat[s] += ids
+    e = spark.createDataFrame([(i, ids) for i, _, ids in rows], "key long, ids array<int>")
+    tokens = pieces.stream(e, spark.createDataFrame([(i, s) for i, s, _ in rows], "doc_id long, split string"))
+    places = [(s, i, i * 3) for s in flat for i in range(len(flat[s]) // 3)]
+    got = {(r.split, r.start): r.ids for r in pieces.windows(tokens, spark.createDataFrame(places, "split string, i long, start long"), 10).collect()}
+    assert got == {(s, b): flat[s][b : b + 11] for s, _, b in places if b + 11 <= len(flat[s])}
+
+
+def test_hot_keys_are_split(spark):
+    from armarium.runtime import salted_join
+
+    a = spark.createDataFrame([(i % 3 if i % 2 else 7, i) for i in range(60)] + [(None, 99)], "k int, x int")
+    b = spark.createDataFrame([(7 if i % 2 else i % 4, i) for i in range(50)] + [(None, 99)], "k int, y int")
+    want = sorted(map(tuple, a.join(b, "k").select("k", "x", "y").collect()))
+    for rows in (5, 1000):
+        assert sorted(map(tuple, salted_join(a, b, "k", rows).select("k", "x", "y").collect())) == want
+
+
+def test_broadcasts_are_measured(spark):
+    from armarium.runtime import small
+
+    d = spark.createDataFrame([(i, "x" * 100, [1, 2]) for i in range(10)], "a int, b string, c array<int>")
+    hinted = lambda x: "ResolvedHint" in x._jdf.queryExecution().analyzed().toString()
+    assert hinted(small(d)) and not hinted(small(d, rows=9)) and not hinted(small(d, most=900))
+
+
+def test_streams_files_and_metadata(spark, tmp_path):
+    from armarium.sources import files
+
+    (tmp_path / "a+(b)" / "x" / "a+(b)").mkdir(parents=True)
+    (tmp_path / "a+(b)" / "x" / "a+(b)" / "t.txt").write_text("textus")
+    assert [r.path for r in files.text_tree(spark, str(tmp_path / "a+(b)")).collect()] == ["x/a+(b)/t.txt"]
+    files.write_tokens(spark.createDataFrame([(1, "train", [1, 0]), (2, "val", [0])], "doc_id long, split string, ids array<int>"), f"{tmp_path}/tokens")
+    assert files.read_tokens(spark, f"{tmp_path}/tokens", "val").first().ids == [0]
+    with pytest.raises(ValueError):
+        files.read_tokens(spark, f"{tmp_path}/tokens", "test")
+    with pytest.raises(FileNotFoundError):
+        files.read_tokens(spark, f"{tmp_path}/none", "val")
+    meta = {"special_tokens": {"eos": 5, "pad": 6}, "tokenizer_config": {"file": "t/tok.json"}}
+    files.write_meta(spark, f"{tmp_path}/meta.json", meta)
+    assert files.read_meta(spark, f"{tmp_path}/meta.json") == meta and files.special_ids(meta)["eos"] == 5 and files.special_ids({}) == {"eos": 0, "pad": 1}
+    with pytest.raises(FileNotFoundError):
+        files.tokenizer_path(spark, meta, f"{tmp_path}/meta.json", f"{tmp_path}/default")
+    (tmp_path / "default").mkdir()
+    (tmp_path / "default" / "tokenizer.json").write_text("{}")
+    assert files.tokenizer_path(spark, meta, f"{tmp_path}/meta.json", f"{tmp_path}/default").endswith("default/tokenizer.json")
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "tok.json").write_text("{}")
+    assert files.tokenizer_path(spark, meta, f"{tmp_path}/meta.json", f"{tmp_path}/default").endswith("t/tok.json")
+    (tmp_path / "p.txt").write_text("ab\ncd")
+    assert [r.prompt for r in files.prompts(spark, ["x", "", f"FILE:{tmp_path}/p.txt"]).orderBy("i").collect()] == ["x", "", "ab\ncd"]
+    files.write_report(spark.createDataFrame([(1, "a")], "n int, s string"), f"{tmp_path}/report")
+    assert spark.read.json(f"{tmp_path}/report").first().s == "a"
+
+
+def test_reweighting_swaps_the_ledger(spark, tmp_path):
+    from armarium.sources import files
+
+    rows = [(1, "train", 15, "classical", "poetry", "aeneis", 1.0, 0.0), (2, "train", 1, "unknown", "unknown", "x", 1.0, 41.0), (3, "val", 5, "unknown", "unknown", "y", 1.0, 0.0)]
+    d = spark.createDataFrame(rows, "doc_id long, split string, tier int, era string, genre string, work_id string, ocr_quality double, non_latin_per_1k double")
+    path = f"{tmp_path}/ledger"
+    files.write_ledger(d, path)
+    files.rewrite_ledger(spark, path, lambda x: build.reweighted(x, resolve_profile("manifest")))
+    assert {r.doc_id: r.weight for r in files.ledger(spark, path).collect()} == {1: 15.0, 2: 0.0, 3: None}
+    assert [p.name for p in tmp_path.iterdir()] == ["ledger"]
+
+
+def test_positions_must_agree(spark):
+    a, b = spark.createDataFrame([(3, "c"), (1, "a")], "k int, v string"), spark.createDataFrame([(9, 0.9), (8, 0.8)], "o int, w double")
+    got = corpus.positional_join(a, ["k"], b, ["o"])
+    assert sorted((r.r, r.v, r.w) for r in got.collect()) == [(0, "a", 0.8), (1, "c", 0.9)]
+    with pytest.raises(ValueError):
+        corpus.positional_join(a.limit(1), ["k"], b, ["o"])
+
+
+def test_ends_penalties_and_dialogues(spark):
+    from armarium.operators import logits as L
+
+    one_row = lambda c: spark.range(1).select(c).first()[0]
+    ids = lambda *x: F.array(*map(F.lit, x))
+    assert one_row(L.stopped(ids(3, 0, 4, 5), 0)) == [3, 0, 0, 0] and one_row(L.stopped(ids(3, 4), 0)) == [3, 4]
+    assert sorted(one_row(L.recent(ids(1, 2, 3, 3, 4), 3))) == [3, 4] and one_row(L.recent(F.lit(None).cast("array<int>"))) == []
+    turn = lambda g, t: F.struct(F.lit(g).alias("generated"), F.lit(t).cast("string").alias("text"))
+    said = L.transcript(F.array(turn(True, "arma virumque cano tro"), turn(False, "iae"), turn(True, " \n "), turn(False, None), turn(False, "qui")), T.trim_to_whitespace)
+    assert one_row(said) == "arma virumque cano iae qui"
