@@ -90,10 +90,7 @@ def _document_tokens(spark, sf):
 
 @query
 def p8_found(spark, sf):
-    documents = table(spark, sf, "documents")
-    counts = tokens.token_counts(documents.withColumn("doc_id", F.struct("doc_id", "source")), table(spark, sf, "tokenizer_latin"))
-    own = counts.groupBy("key").agg(F.max("n_tokens").alias("n_tokens")).select("key.source", "n_tokens")
-    return mixing.capacities(own, table(spark, sf, "mixture_targets")).where("not reachable").select("source")
+    return mixing.unreachable(_document_tokens(spark, sf), table(spark, sf, "mixture_targets")).select("source")
 
 
 @query

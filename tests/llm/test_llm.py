@@ -207,10 +207,24 @@ def test_raking_meets_marginals_and_caps(spark):
     cap = {r.source: r for r in mixing.capacities(d.select("source", "n_tokens"), t).collect()}
     assert cap["a_b"].own_tokens == 400 and cap["a_b"].all_tokens == 2000 and not cap["a_b"].reachable and cap["c"].reachable and not cap["gone"].reachable
     report = {r.source: r for r in mixing.mixture_report(d, t).collect()}
-    assert report["a_b"].most_repeats == 2 and report["a_b"].used_tokens == 800 and report["gone"].used_tokens == 0 and 500 < report["c"].used_tokens < 1100
+    assert report["a_b"].most_repeats == 2 and report["a_b"].used_tokens == 800 and report["gone"].used_tokens == 0 and report["c"].used_tokens == 800
+    assert {r.source for r in mixing.unreachable(d, t).collect()} == {"a_b", "gone"}
     assert mixing.mixture_report(d.limit(0), t).count() == 3
 
 
+def test_draws_keep_totals(spark, monkeypatch):
+    rnd = random.Random(18)
+    docs = [(i, rnd.choice("AB"), rnd.choice(("la", None)), rnd.choice("xyz"), rnd.randrange(1, 40)) for i in range(600)]
+    d = spark.createDataFrame(docs, "key long, source string, lang string, topic string, n_tokens long")
+    t = spark.createDataFrame([("a", 0.37, 3), ("b", 0.63, 2)], "source string, target_share double, max_repeats int")
+    first = {r.source: r for r in mixing.mixture_report(d, t).collect()}
+    assert all(abs(r.reached - 1) < 0.005 and r.most_repeats <= r.max_repeats for r in first.values())
+    used = {r.key: r.repeats for r in mixing.mixture(d, t).collect()}
+    assert len(used) == 600
+    monkeypatch.setattr(mixing, "MOST_CELLS", 1)
+    assert {r.key: r.repeats for r in mixing.mixture(d, t).collect()} == used
+
+
 def page(rnd, v, n):
     return [text_of(rnd, v, 7) for _ in range(n)]
 
