@@ -8,13 +8,17 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.pieces import words
+from ..runtime import arrow_map
+
+__all__ = ["arrow_map", "words"]
+
 #: Line ends inside a word: marks that printers and transcribers put there.
 BREAK_MARKS = "-¬‐=~­"
 _BROKEN = re.compile(f"[{BREAK_MARKS}][ \\t]*\\n\\s*")
@@ -35,11 +39,6 @@ MODERN_WORDS = frozenset(
 ) - {"non", "page"}
 
 
-def words(text: str) -> list[str]:
-    """Maximal runs of characters other than blank, tab and line feed."""
-    return [w for w in text.replace("\t", " ").replace("\n", " ").split(" ") if w]
-
-
 def plain(text: str) -> str:
     """The text without vowel lengths, accents, ligatures, joiners and daggers; other letters stay as they are."""
     if text.isascii():
@@ -134,23 +133,6 @@ def keyed(df: DataFrame, key: str, text: str, *more: Column | str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(text).alias("text"), *more).where("key is not null and text is not null")
 
 
-def arrow_map(df: DataFrame, schema: str, per_batch: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
-    """mapInArrow with a function from a batch to a dict of columns; dicts are put into the schema's order and types."""
-    wanted = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(wanted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = per_batch(batch)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
-
-    return df.mapInArrow(run, schema)
-
-
 def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence, bit-parallel."""
     at: dict = {}

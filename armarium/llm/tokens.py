@@ -5,52 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.pieces import PieceTokenizer, load_pieces
 from .texts import Memo, arrow_map, is_latin, keyed, words
 
-UNK, EOS, START = "<unk>", "<eos>", "▁"
-
-
-class PieceTokenizer:
-    """Greedy longest match of listed pieces over words prefixed with a start mark.
-
-    A character at which no listed piece matches is one <unk>; a text ends with one <eos>.
-    <unk> and <eos> themselves never match text.
-    """
-
-    def __init__(self, ids: dict[str, int]):
-        self.ids = {p: i for p, i in ids.items() if p and p not in (UNK, EOS)}
-        self.unk, self.eos = ids.get(UNK, 1), ids.get(EOS, 0)
-        lengths: dict[str, set[int]] = {}
-        for p in self.ids:
-            lengths.setdefault(p[0], set()).add(len(p))
-        self.lengths = {c: sorted(ns, reverse=True) for c, ns in lengths.items()}
-
-    def word(self, w: str) -> list[int]:
-        w, i, out = START + w, 0, []
-        while i < len(w):
-            for n in self.lengths.get(w[i], ()):
-                found = self.ids.get(w[i : i + n]) if i + n <= len(w) else None
-                if found is not None:
-                    out.append(found)
-                    i += n
-                    break
-            else:
-                out.append(self.unk)
-                i += 1
-        return out
-
-    def encode(self, text: str) -> list[int]:
-        return [t for w in words(text) for t in self.word(w)] + [self.eos]
-
-
-def load_pieces(pieces: DataFrame, most: int = 1_000_000) -> dict[str, int]:
-    """The tokenizer's pieces; a table of more than `most` rows is refused, as it goes to every worker."""
-    rows = pieces.where("piece is not null and token_id is not null").select("piece", "token_id").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"a tokenizer of more than {most} pieces is not broadcast")
-    return {r.piece: r.token_id for r in rows}
-
-
 def token_counts(df: DataFrame, pieces: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, n_words, n_bytes, latin): exact counts of every row that has a key and a text.
 
