@@ -176,7 +176,7 @@ def p2_found(spark, sf):
 def p2_composition(spark, sf):
     """Documents and words by subject; documents that treat several count for each."""
     found = subjects.subjects_of(table(spark, sf, "corpus_ledger"), table(spark, sf, "subject_terms"), table(spark, sf, "subject_examples"))
-    return found.groupBy("subject").agg(F.count("*").alias("docs"), F.sum("words").alias("subject_words"))
+    return found.groupBy("subject").agg(F.count("*").alias("docs"), F.round(F.sum("words"), 1).alias("subject_words"))
 
 
 @query

@@ -14,10 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.pieces import words
-from ..runtime import arrow_map
-
-__all__ = ["arrow_map", "words"]
+from ..operators.pieces import words  # noqa: F401
+from ..runtime import arrow_map  # noqa: F401
 
 #: Line ends inside a word: marks that printers and transcribers put there.
 BREAK_MARKS = "-¬‐=~­"
