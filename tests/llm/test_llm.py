@@ -248,7 +248,7 @@ def test_pages_are_read(spark):
 def test_misread_words_seen_twice_where_all_are_pages(spark):
     rnd, v = random.Random(15), [w for w in vocabulary(300, 31) if len(w) > 4]
     right, wrong = "fenestram", "fcnestram"
-    assert wrong in scans.neighbours(right, 1)
+    assert wrong in scans.replaced(right, {"e": [("c", -1.0)]}, 1)
     rows = [(i, "Pagina_Opus.djvu_%d.txt" % i, text_of(rnd, v, 40) + f" {right} " + text_of(rnd, v, 10)) for i in range(40)]
     rows += [(100 + i, "Pagina_Opus.djvu_%d.txt" % i, f"{v[i]} {wrong} {v[i + 2]}") for i in range(3)]
     d = spark.createDataFrame(rows, "doc_id long, path string, _text string")
