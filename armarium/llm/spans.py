@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, small
+from ..runtime import materialize, salted_join, small
 from .texts import Memo, arrow_map, flat_hashes, hash64, keyed, rolling
 
 #: Words of a span that counts; words of an anchor. Any span of SPAN words holds an anchor that is the
@@ -106,8 +107,11 @@ class SuffixAutomaton:
         return out
 
 
-def shared_spans(sequences: list[list[str]], least: int = SPAN) -> list[tuple[int, int, int, int]]:
-    """(i, j, start, length): for every two sequences the longest string of `least` words or more in common, at its place in i."""
+def shared_spans(sequences: list[list[str]], least: int = SPAN, several: frozenset[int] = frozenset()) -> list[tuple[int, int, int, int]]:
+    """(i, j, start, length): for every two sequences the longest string of `least` words or more in common, at its place in i.
+
+    Those in `several` stand in several records, and share themselves with themselves.
+    """
     automaton = SuffixAutomaton()
     for s in sequences:
         automaton.add(s)
@@ -120,7 +124,9 @@ def shared_spans(sequences: list[list[str]], least: int = SPAN) -> list[tuple[in
             seen: set[int] = set()
             length = n
             while state > 0 and length >= least:
-                new = owners[state] - seen - {i}
+                new = owners[state] - seen
+                if i not in several:
+                    new = new - {i}
                 for j in new:
                     if length > longest.get((i, j), (0, 0))[1]:
                         longest[i, j] = (at - length + 1, length)
@@ -220,6 +226,7 @@ def routed_passages(docs: DataFrame) -> DataFrame:
                         out[c].append(v)
         return out if out["key"] else None
 
+    places = materialize(places)
     found = arrow_map(docs.join(small(places), "key").dropDuplicates(["key"]).select("key", "text", "places"), f"route bigint, key {kind}, begin int, passage string", per_batch)
     return found
 
@@ -229,7 +236,8 @@ def span_pairs(docs: DataFrame, key: str = "key", text: str = "text") -> DataFra
 
     Kind of white space makes no difference, case and punctuation do. Equal passages of a route are one class: the
     suffix automaton of a shard holds each once, and its passages are streamed through it for
-    matching statistics; members of classes pair afterwards. A span longer than a passage is reported
+    matching statistics, which say which classes share a span with others and, of several members, among themselves. Members of
+    classes pair afterwards; a class of very many is joined in parts. A span longer than a passage is reported
     from it; `words` is then at least that much. Null and shorter texts share nothing; a record
     stored twice is one record.
     """
@@ -238,22 +246,25 @@ def span_pairs(docs: DataFrame, key: str = "key", text: str = "text") -> DataFra
     def per_shard(f: pd.DataFrame) -> pd.DataFrame:
         texts = f["passage"].str.split().tolist()
         route, cls, out = f["route"].tolist(), f["class"].tolist(), []
-        for i, j, start, length in shared_spans(texts):
-            if route[i] == route[j] and cls[i] < cls[j]:
+        for i, j, start, length in shared_spans(texts, several=frozenset(np.flatnonzero(f["n"].to_numpy() > 1).tolist())):
+            if route[i] == route[j] and cls[i] <= cls[j]:
                 out.append((cls[i], cls[j], start, length))
         return pd.DataFrame(out, columns=["class_a", "class_b", "start_a", "words"])
 
-    between = (
-        classes.where("passages > 1")
+    linked = materialize(
+        classes.select("route", "passage", "class", "n")
         .withColumn("shard", F.pmod("route", F.lit(shards)))
         .groupBy("shard")
         .applyInPandas(per_shard, "class_a bigint, class_b bigint, start_a int, words int")
+        .select("class_a", "class_b", "words")
     )
-    members = passages.withColumn("class", F.xxhash64("route", "passage")).select("class", "key", "begin")
-    within = classes.select(F.col("class").alias("class_a"), F.col("class").alias("class_b"), F.lit(0).alias("start_a"), F.size(F.split("passage", " ")).alias("words")).where(f"words >= {SPAN}")
+    members = passages.select(F.xxhash64("route", "passage").alias("class"), "key")
+    # only members of classes that share a span
+    some = linked.select(F.col("class_a").alias("class")).union(linked.select("class_b")).distinct()
+    members = materialize(members.join(some, "class", "left_semi").distinct())
     a = members.select(F.col("class").alias("class_a"), F.col("key").alias("key_1"))
     b = members.select(F.col("class").alias("class_b"), F.col("key").alias("key_2"))
-    both = between.union(within).select("class_a", "class_b", "words").join(a, "class_a").join(b, "class_b").where("key_1 != key_2")
+    both = salted_join(salted_join(linked, a, "class_a"), b, "class_b").where("key_1 != key_2")
     return both.groupBy(F.least("key_1", "key_2").alias("key_a"), F.greatest("key_1", "key_2").alias("key_b")).agg(F.max("words").alias("words"))
 
 
@@ -289,23 +300,34 @@ def _shards(base: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     passages = materialize(routed_passages(base))
     classes = passages.groupBy("route", "passage").agg(F.count("*").alias("n")).withColumn("class", F.xxhash64("route", "passage"))
     several = classes.groupBy("route").agg(F.count("*").alias("passages"), F.sum("n").alias("n")).where("n > 1")
-    classes = materialize(classes.select("route", "passage", "class").join(several.select("route", "passages"), "route"))
-    return passages, classes, max(1, classes.where("passages > 1").count() * (2 * SPAN - ANCHOR) // SHARD_WORDS)
+    classes = materialize(classes.select("route", "passage", "class", "n").join(several.select("route", "passages"), "route"))
+    return passages, classes, max(1, classes.count() * (2 * SPAN - ANCHOR) // SHARD_WORDS)
 
 
-def sample_statistics(docs: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "_text", sample_key: str = "sample_id", sample_text: str = "text", most_words: int = 2_000_000) -> DataFrame:
+def sample_statistics(docs: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "_text", sample_key: str = "sample_id", sample_text: str = "text", block_words: int = 500_000) -> DataFrame:
     """(sample, longest, doc): for each sample the longest run of words that a record holds too, and the least record that holds it.
 
-    The samples' suffix automaton is broadcast, in shards of SHARD_WORDS words; records are streamed
-    through it for matching statistics, whole. Samples of more than most_words words are refused.
+    The samples' suffix automata are broadcast, one for about block_words words of them; records are streamed
+    through each for matching statistics, whole.
     Samples without words have none; a sample of which no word is found has longest 0 and no record.
     """
-    rows = [(r.key, r.text.split()) for r in keyed(samples, sample_key, sample_text).distinct().collect()]
-    if sum(len(w) for _, w in rows) > most_words:
-        raise ValueError("the samples are too large to broadcast")
-    rows = [(k, w) for k, w in rows if w]
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
+    rows = [(r.key, r.text.split()) for r in keyed(samples, sample_key, sample_text).distinct().orderBy("key").toLocalIterator()]
+    blocks: list[list] = [[]]
+    for k, w in rows:
+        if w:
+            if sum(len(x) for _, x in blocks[-1]) >= block_words:
+                blocks.append([])
+            blocks[-1].append((k, w))
+    base = keyed(docs, key, text)
     kinds = dict(samples.dtypes)[sample_key], dict(docs.dtypes)[key]
+    found = reduce(DataFrame.union, [_block_statistics(base, b, kinds) for b in blocks])
+    top = found.groupBy("sample").agg(F.max(F.struct("longest", (-F.col("doc")).alias("minus"))).alias("m"))
+    return top.select("sample", F.col("m.longest").alias("longest"), (-F.col("m.minus")).alias("doc"))
+
+
+def _block_statistics(docs: DataFrame, rows: list, kinds: tuple[str, str]) -> DataFrame:
+    """(sample, longest, doc) of each batch of documents, for samples whose automaton every worker holds."""
+    shared = docs.sparkSession.sparkContext.broadcast(rows)
     state: dict = {}
 
     def per_batch(batch):
@@ -345,6 +367,4 @@ def sample_statistics(docs: DataFrame, samples: DataFrame, key: str = "doc_id",
                 reach[up] = max(reach[up], (automaton.length[up], least[s]))
         return {"sample": [shared.value[i][0] for i in best], "longest": [n for n, _ in best.values()], "doc": [-k for _, k in best.values()]} if best else None
 
-    found = arrow_map(keyed(docs, key, text), f"sample {kinds[0]}, longest int, doc {kinds[1]}", per_batch)
-    top = found.groupBy("sample").agg(F.max(F.struct("longest", (-F.col("doc")).alias("minus"))).alias("m"))
-    return top.select("sample", F.col("m.longest").alias("longest"), (-F.col("m.minus")).alias("doc"))
+    return arrow_map(docs, f"sample {kinds[0]}, longest int, doc {kinds[1]}", per_batch)

@@ -71,6 +71,7 @@ def test_shared_spans_equal_brute_force(spark, monkeypatch):
         monkeypatch.setattr(spans, "HOT", hot)
         got = {(r.key_a, r.key_b) for r in spans.span_pairs(d).collect()}
         assert got == span_truth(rows) and got
+    assert {(r.sample, r.longest) for r in spans.sample_statistics(d, d, "key", "text", "key", "text", block_words=200).collect()} == {(k, len(t.split())) for k, t in rows if t and t.split()}
     shared = {r.key: r.shared for r in spans.shared_words(d).collect()}
     windows = {}
     for k, t in rows:
@@ -88,6 +89,18 @@ def test_shared_spans_equal_brute_force(spark, monkeypatch):
     assert shared == want
 
 
+def test_a_third_of_all_records_alike(spark, monkeypatch):
+    from armarium import runtime
+
+    monkeypatch.setattr(spans.salted_join, "__defaults__", (7,))
+    rnd, v = random.Random(25), vocabulary(200)
+    same = text_of(rnd, v, 40)
+    rows = [(i, same if i % 3 == 0 else text_of(rnd, v, 50)) for i in range(90)]
+    d = spark.createDataFrame(rows, "key long, text string")
+    assert runtime.salted_join.__defaults__ == (7,)
+    assert {(r.key_a, r.key_b) for r in spans.span_pairs(d).collect()} == set(combinations(range(0, 90, 3), 2))
+
+
 def test_longest_match_of_samples(spark):
     rnd, v = random.Random(6), vocabulary(20)
     docs = [(i, text_of(rnd, v, 80)) for i in range(20)] + [(90, None), (91, "")]
