@@ -140,18 +140,25 @@ def altered(rnd, v, text, share):
     return " ".join(w)
 
 
-def test_overlaps_equal_brute_force(spark):
+def test_overlaps_equal_brute_force(spark, monkeypatch):
     rnd, v = random.Random(7), vocabulary(800)
     left = [(i, text_of(rnd, v, rnd.randrange(1, 90))) for i in range(40)] + [(40, None), (41, ""), (42, "unum")]
     right = [(100 + i, text_of(rnd, v, rnd.randrange(20, 90))) for i in range(80)] + [(300, "UNUM."), (301, None)]
     for i in range(30):
         right.append((400 + i, altered(rnd, v, left[i][1], rnd.choice((0, 0.1, 0.2, 0.25, 0.6))).upper().replace("U", "V").replace(" ", rnd.choice((" ", "\n")))))
     right.append(right[-1])
+    # texts of few very common words, and one of them extended
+    left += [(43, "et in"), (44, " ".join(v[:5]))]
+    right += [(700, "ET IN"), (701, " ".join(v[:6])), (702, "in et " + v[0])]
     d = [spark.createDataFrame([(k, t, "Pagina_X.djvu_1.txt") for k, t in rows], "key long, text string, name string") for rows in (left, right)]
     got = {(r.key_l, r.key_r) for r in overlap.overlaps(*d).collect()}
     f = lambda t: folded_words(t or "")
     want = {(a, b) for a, x in left for b, y in right if f(x) and f(y) and lcs(f(x), f(y)) >= overlap.AGREE * max(len(f(x)), len(f(y)))}
     assert got == want and len(want) > 15
+    monkeypatch.setattr(overlap.salted_join, "__defaults__", (2,))
+    monkeypatch.setattr(overlap, "MOST_BITS", 1 << 6)
+    monkeypatch.setattr(overlap, "LEAST_BITS", 1 << 6)
+    assert {(r.key_l, r.key_r) for r in overlap.overlaps(*d).collect()} == want
     assert overlap.overlaps(d[0].limit(0), d[1].limit(0)).count() == 0
 
 
