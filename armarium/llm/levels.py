@@ -66,9 +66,9 @@ def corpus_frequencies(codes: DataFrame) -> np.ndarray:
         at = np.flatnonzero(n)
         return {"c": at, "n": n[at]} if len(at) else None
 
-    rows = arrow_map(codes.select("codes"), "c int, n bigint", per_batch).groupBy("c").agg(F.sum("n").alias("n")).toPandas()
+    rows = arrow_map(codes.select("codes"), "c int, n bigint", per_batch).groupBy("c").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(COUNTERS, np.int64)
-    out[rows["c"].to_numpy(int)] = rows["n"].to_numpy(np.int64)
+    out[rows["c"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 

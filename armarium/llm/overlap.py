@@ -67,9 +67,9 @@ def frequencies(texts: DataFrame) -> np.ndarray:
         at = np.flatnonzero(n)
         return {"c": at, "n": n[at]}
 
-    sums = arrow_map(texts.select("codes"), "c int, n bigint", per_batch).groupBy("c").agg(F.sum("n").alias("n")).toPandas()
+    sums = arrow_map(texts.select("codes"), "c int, n bigint", per_batch).groupBy("c").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(COUNTERS, np.int64)
-    out[sums["c"].to_numpy(int)] = sums["n"].to_numpy(np.int64)
+    out[sums["c"].to_numpy()] = sums["n"].to_numpy()
     return out
 
 
@@ -156,9 +156,9 @@ def postings(texts: DataFrame, words, held=None) -> DataFrame:
 
 def greatest(posted: DataFrame) -> np.ndarray:
     """The greatest posted weight by place of the term: COUNTERS values."""
-    rows = posted.groupBy(F.shiftright("term", 40).bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("c")).agg(F.max("w").alias("w")).toPandas()
+    rows = posted.groupBy(F.shiftright("term", 40).bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("c")).agg(F.max("w").alias("w")).toArrow()
     out = np.zeros(COUNTERS, np.float32)
-    out[rows["c"].to_numpy(int)] = rows["w"]
+    out[rows["c"].to_numpy()] = rows["w"].to_numpy()
     return out
 
 

@@ -165,7 +165,7 @@ def metadata_lifts(texts: DataFrame, seeds) -> np.ndarray:
                 out[c] += v.tolist()
         return out if out["d"] else None
 
-    rows = arrow_map(texts, "d int, place int, label int, n bigint", per_batch).groupBy("d", "place", "label").agg(F.sum("n").alias("n")).toPandas()  # 2 x PLACES x subjects at most
+    rows = arrow_map(texts, "d int, place int, label int, n bigint", per_batch).groupBy("d", "place", "label").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # 2 x PLACES x subjects at most
     n = np.zeros((2, PLACES + 1, k))
     n[rows["d"], rows["place"], rows["label"]] = rows["n"]
     prior = (n.sum(1, keepdims=True) + 1) / (n.sum((1, 2), keepdims=True) + k)
@@ -216,7 +216,7 @@ def train(texts: DataFrame, seeds, lifts) -> Model:
     def frequent(rows):
         sums = rows.groupBy("feature").agg(*[F.coalesce(F.sum(F.when(F.col("label") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(k)])
         most = F.greatest(*[(F.col(f"n{i}") + 0.5) / float(size[i]) for i in range(k)])
-        got = sums.where(most >= LEAST_RATE).toPandas()  # k / LEAST_RATE rows at most
+        got = sums.where(most >= LEAST_RATE).toArrow().to_pandas()  # k / LEAST_RATE rows at most
         got = got.sort_values("feature")
         return got["feature"].to_numpy(np.int64), got[[f"n{i}" for i in range(k)]].to_numpy(float)
 
