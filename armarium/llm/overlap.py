@@ -188,10 +188,10 @@ def cosine_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """(class_l, class_r): classes whose vectors may have a cosine of COSINE or more.
 
     The inverted lists of both sides are joined on the term, long lists in parts. The right side's vectors are whole, so what the
-    left side did not post adds at most its residual. Copies of one text have one list.
+    left side did not post adds at most its residual. Each text of a class stands in the lists once.
     """
-    a = left.dropDuplicates(["term", "class"]).select("term", F.col("class").alias("class_l"), F.col("w").alias("wl"), F.col("res").alias("rl"))
-    b = right.dropDuplicates(["term", "class"]).select("term", F.col("class").alias("class_r"), F.col("w").alias("wr"))
+    a = left.select("term", F.col("class").alias("class_l"), F.col("w").alias("wl"), F.col("res").alias("rl"))
+    b = right.select("term", F.col("class").alias("class_r"), F.col("w").alias("wr"))
     return (
         salted_join(b, a, "term")
         .groupBy("class_l", "class_r")
@@ -214,9 +214,9 @@ def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
     n = frequencies(texts)
     total = max(int(n.sum()), 1)
     words = shared((np.log(np.maximum(n, 1) / total).astype(np.float32), float(np.log(total))))
-    posted = materialize(postings(texts.where("held"), words))
+    posted = materialize(postings(texts.where("held").select("class", "codes").dropDuplicates(["class"]), words))
     size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * max(1, posted.count()) - 1).bit_length()))
-    theirs = materialize(postings(texts.where("not held"), words, shared((bitmap(posted, size), greatest(posted)))))
+    theirs = materialize(postings(texts.where("not held"), words, shared((bitmap(posted, size), greatest(posted)))).dropDuplicates(["term", "class"]))
     pairs = materialize(cosine_pairs(posted, theirs))
     return _checked(texts, pairs, words)
 
