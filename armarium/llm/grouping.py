@@ -6,12 +6,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..operators.corpus import running_sum
+from ..runtime import materialize, salted_join, small
 
 EMPTY_SHA1 = "da39a3ee5e6b4b0d3255bfef95601890afd80709"
 #: Links up to which the last forests are merged by one task; beyond it stars are contracted by shuffles.
 MERGE_LINKS = 2_000_000
-#: Largest groups that are assigned one by one; the others together hold less than LARGEST x the smallest of these.
+#: Largest groups that the driver assigns one by one; it assigns the others by size, all of one size together.
 LARGEST = 50_000
 
 
@@ -68,24 +69,26 @@ def components(edges: DataFrame, merge_links: int = MERGE_LINKS, fan_in: int = 8
     sums, so that a node with very many links is no hot spot. Every step is written to shared storage.
     """
     now = materialize(local_forests(edges).distinct())
-    n = now.count()
+    seen = _print(now)
+    n = seen[0]
     parts = max(1, now.rdd.getNumPartitions())
     while n > merge_links:
         larger = now.where("a != b")
         both = larger.union(larger.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        star = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        star = salted_join(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = star.groupBy("a").agg(F.min("b").alias("m"))
-        hop = star.join(least, "a")
+        hop = salted_join(materialize(star), least, "a")
         after = materialize(
             hop.select("a", F.col("m").alias("b"))
             .union(hop.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")))
             .union(now.select("b", "b").toDF("a", "b"))
             .distinct()
         )
-        if after.exceptAll(now).isEmpty():
+        was, seen = seen, _print(after)
+        if was == seen:
             return _flatten(after)
-        now, n = after, after.count()
+        now, n = after, seen[0]
     while True:
         parts = max(1, parts // fan_in)
         now = materialize(local_forests(now.coalesce(parts)))
@@ -94,6 +97,12 @@ def components(edges: DataFrame, merge_links: int = MERGE_LINKS, fan_in: int = 8
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _print(links: DataFrame) -> tuple:
+    """What tells a set of links from another: their number and sums of their hashes, whatever their order."""
+    h = F.xxhash64("a", "b")
+    return tuple(links.agg(F.count("*"), F.sum(h.cast("decimal(20,0)")), F.bit_xor(h)).first())
+
+
 def _flatten(stars: DataFrame) -> DataFrame:
     return stars.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("root"))
 
@@ -110,16 +119,40 @@ def linked_pairs(df: DataFrame, columns: tuple[str, ...], of: int = 0) -> DataFr
     several = members.groupBy("root").count().where("count > 1").select("root")
     some = members.join(several, "root", "left_semi")
     a, b = (some.select(F.col("value").alias(x), "root") for x in "ab")
-    return a.join(b, "root").where("a < b").select("a", "b")
+    return salted_join(a, b, "root").where("a < b").select("a", "b")
+
+
+def share_out(lack: dict[str, float], size: int, n: int) -> dict[str, int]:
+    """How many of n groups of one size go to each split if each goes to the one furthest below its target; lack is updated."""
+    out = dict.fromkeys(lack, 0)
+
+    def give(s, k):
+        out[s] += k
+        lack[s] -= k * size
+        return k
+
+    while n > 0:
+        order = sorted(lack, key=lambda x: (lack[x], x), reverse=True)
+        first, last = lack[order[0]], lack[order[-1]]
+        if size <= 0:
+            n -= give(order[0], n)
+        elif first - last <= size and n >= len(order):
+            # all are level: they take turns
+            for s in order:
+                give(s, n // len(order))
+            n %= len(order)
+        else:
+            second = lack[order[1]] if len(order) > 1 else first
+            n -= give(order[0], min(n, max(1, int((first - second) // size))))
+    return out
 
 
 def split_groups(sizes: DataFrame, shares: dict[str, float], largest: int = LARGEST) -> DataFrame:
     """(root, split): greedy, the largest group first, into the split furthest below its target.
 
-    sizes: (root, size). The `largest` largest groups are assigned one by one. The rest, each no
-    larger than the least of those, are ordered by hash and lie one after another on a line
-    on which each split takes the stretch that it still lacks: a prefix sum over ranges, so that no
-    task sees all groups.
+    sizes: (root, size). The driver assigns the `largest` largest groups one by one, and of the rest how many of each
+    size go where: no more numbers than the sizes below those. Groups of one size are then told apart by a
+    prefix sum over their hashes, so that no task sees all groups.
     """
     spark = sizes.sparkSession
     sizes = materialize(sizes.select("root", F.coalesce("size", F.lit(0)).cast("bigint").alias("size")))
@@ -134,24 +167,15 @@ def split_groups(sizes: DataFrame, shares: dict[str, float], largest: int = LARG
     done = spark.createDataFrame(placed, "root string, split string")
     if len(top) < largest:
         return done
-    rest = sizes.join(done, "root", "left_anti").withColumn("at", F.xxhash64("root"))
-    buckets = rest.groupBy(F.shiftright("at", 52).alias("bucket")).agg(F.sum("size").alias("s")).collect()  # at most 4096
-    base, run = [], 0
-    for b in sorted(buckets, key=lambda x: x.bucket):
-        base.append((b.bucket, run))
-        run += b.s
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("bucket").orderBy("at", "root").rowsBetween(Window.unboundedPreceding, -1)
-    begins = (
-        rest.withColumn("bucket", F.shiftright("at", 52))
-        .join(F.broadcast(spark.createDataFrame(base, "bucket bigint, base bigint")), "bucket")
-        .withColumn("begin", F.col("base") + F.coalesce(F.sum("size").over(w), F.lit(0)))
-    )
-    open_ = {s: max(0.0, v) for s, v in lack.items()}
-    scale, edge, which = run / (sum(open_.values()) or 1), 0.0, F.lit(max(shares, key=shares.get))
-    for s, v in sorted(open_.items(), key=lambda x: -x[1]):
-        if v:
-            which = F.when((F.col("begin") >= edge) & (F.col("begin") < edge + v * scale), s).otherwise(which)
-            edge += v * scale
-    return done.union(begins.select("root", which.alias("split")))
+    rest = materialize(sizes.join(small(done), "root", "left_anti"))
+    found = rest.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("size")).toArrow().to_pylist()
+    cuts = []
+    for r in found:
+        at = 0
+        for s, k in share_out(lack, r["size"], r["n"]).items():
+            if k:
+                cuts.append((r["size"], at, at + k, s))
+                at += k
+    ranked = running_sum(rest.withColumn("one", F.lit(1)).withColumn("at", F.xxhash64("root")), ["at", "root"], "one", "rank", ["size"])
+    edges = small(materialize(spark.createDataFrame(cuts, "size bigint, low bigint, high bigint, split string")))
+    return done.union(ranked.join(edges, "size").where("rank >= low and rank < high").select("root", "split"))
