@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,19 +15,36 @@ from .texts import arrow_map, folded_words, keyed, lcs
 
 #: Words in a row that make a leak, and the share of a whole item's words that may be replaced.
 RUN, REPLACED = 20, 0.1
-#: Every so many words of an item hold a posting term, so a run of RUN words holds two at least.
+#: Every so many words of an item hold a posting term at least, so a run of RUN words holds two; fewer words where an item with as many
+#: words replaced as may be would keep less than two.
 STRIDE = 10
+#: Items that are searched at once: their words go to every worker.
+ITEMS = 20_000
 #: Places at which offsets differ by up to so much belong to one match (divided words, inserted numbers).
 SLACK = 16
 _ROMAN = re.compile("[iuxlcdm]+").fullmatch
 
 
-def load_items(items: DataFrame, key: str, text: str, most: int = 100_000) -> dict[int, list[str]]:
-    """Folded words by item; items without words are left out. More than `most` items are refused: query them in blocks."""
-    rows = keyed(items, key, text).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} items at once")
-    return {r.key: w for r in rows if (w := folded_words(r.text))}
+def load_items(items: DataFrame, key: str, text: str, most: int):
+    """Folded words by item, `most` items at a time; items without words are left out."""
+    block: dict[int, list[str]] = {}
+    for r in keyed(items, key, text).dropDuplicates(["key"]).orderBy("key").toLocalIterator():
+        if w := folded_words(r.text):
+            block[r.key] = w
+            if len(block) >= most:
+                yield block
+                block = {}
+    if block:
+        yield block
+
+
+def folded(docs: DataFrame) -> DataFrame:
+    """(key, text) of documents with words: folded words with blanks between them. Texts are folded once, here."""
+
+    def per_batch(batch):
+        return {"key": batch.column("key"), "text": [" ".join(folded_words(t)) for t in batch.column("text").to_pylist()]}
+
+    return arrow_map(docs, f"key {dict(docs.dtypes)['key']}, text string", per_batch).where("text != ''")
 
 
 def rejoined(ws: list[str], known: frozenset[str]) -> list[str]:
@@ -60,7 +78,7 @@ def term_counts(docs: DataFrame, known) -> DataFrame:
         n: dict[str, int] = defaultdict(int)
         vocabulary = known.value
         for t in batch.column("text").to_pylist():
-            for w in folded_words(t):
+            for w in t.split(" "):
                 if w in vocabulary:
                     n[w] += 1
         return {"term": list(n), "n": list(n.values())} if n else None
@@ -69,12 +87,16 @@ def term_counts(docs: DataFrame, known) -> DataFrame:
 
 
 def anchors(items: dict[int, list[str]], counts: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(term, item, offset): of every STRIDE words in a row of an item the one that is rarest in the documents."""
+    """(term, item, offset): of every STRIDE words in a row of an item the one that is rarest in the documents.
+
+    An item holds two windows more than words of it may be replaced, so two of its terms stay whatever the replaced words are.
+    """
     out = set()
     for i, ws in items.items():
         rank = [(counts.get(w, 0), w, p) for p, w in enumerate(ws)]
-        for p in range(max(1, len(ws) - STRIDE + 1)):
-            _, w, at = min(rank[p : p + STRIDE])
+        wide = min(STRIDE, max(1, len(ws) // (int(len(ws) * REPLACED) + 2)))
+        for p in range(max(1, len(ws) - wide + 1)):
+            _, w, at = min(rank[p : p + wide])
             out.add((w, i, at))
     return sorted(out)
 
@@ -86,10 +108,9 @@ def postings(docs: DataFrame, terms, known) -> DataFrame:
         out = {"term": [], "key": [], "pos": []}
         wanted, vocabulary = terms.value, known.value
         for k, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-            ws = folded_words(t)
-            if wanted.isdisjoint(ws):
-                if not any(a not in vocabulary and a + b in wanted for a, b in zip(ws, ws[1:])):
-                    continue
+            ws = t.split(" ")
+            if wanted.isdisjoint(ws) and not any((a not in vocabulary or b not in vocabulary) and a + b in wanted for a, b in zip(ws, ws[1:])):
+                continue
             for p, w in enumerate(rejoined(ws, vocabulary)):
                 if w in wanted:
                     out["term"].append(w)
@@ -145,16 +166,20 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     Postings of the items' rarest terms in all documents are intersected with offsets adjusted; only
     the documents that stay are read again and compared exactly. Case, punctuation, numbers, marks,
     layout, divided words, vowel lengths, ligatures, u/v and i/j make no difference. Null or wordless
-    items and documents match nothing. Items with the same key: the last one holds. A document stored
-    twice counts once.
+    items and documents match nothing. Items with the same key: one of them holds. A document stored
+    twice counts once. Items are searched ITEMS at a time.
     """
     spark = docs.sparkSession
     kind, item_kind = dict(docs.dtypes)[key], dict(items.dtypes)[item_key]
     schema = f"key {kind}, item {item_kind}, run int, share double"
-    every = load_items(items, item_key, item_text)
-    if not every:
-        return spark.createDataFrame([], schema)
-    base = keyed(docs, key, text)
+    base = materialize(folded(keyed(docs, key, text)))
+    found = [_block(base, every, kind, item_kind, schema) for every in load_items(items, item_key, item_text, ITEMS)]
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
+
+
+def _block(base: DataFrame, every: dict[int, list[str]], kind: str, item_kind: str, schema: str) -> DataFrame:
+    """leaks() of some items, whose words every worker holds, in folded documents."""
+    spark = base.sparkSession
     shared = spark.sparkContext.broadcast
     known = shared(frozenset(w for ws in every.values() for w in ws))
     counts = {r.term: r.n for r in term_counts(base, known).collect()}  # no more rows than the items have words
@@ -164,7 +189,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         per_item[i] += 1
     anchor = spark.createDataFrame([(t, i, p, per_item[i]) for t, i, p in rows], f"term string, item {item_kind}, offset int, anchors int")
     index = postings(base, shared(frozenset(t for t, _, _ in rows)), known)
-    found = materialize(candidates(index, small(anchor)))
+    found = materialize(candidates(index, small(materialize(anchor))))
     texts = base.join(small(found), "key")
     whole = shared(every)
 
@@ -174,7 +199,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         last, words, stream = None, [], ""
         for k, t, i, diags in zip(*cols):
             if (k, t) != last:
-                words = rejoined(folded_words(t), known.value)
+                words = rejoined(t.split(" "), known.value)
                 last, stream = (k, t), "".join(words)
             item = whole.value[i]
             run, share = matched(item, words, stream, diags)
