@@ -140,22 +140,27 @@ def candidates(index: DataFrame, anchor: DataFrame, need: int = 2) -> DataFrame:
     )
 
 
-def matched(item: list[str], doc: list[str], stream: str, diags: list[int]) -> tuple[int, float]:
-    """Longest run of the item's words in the document, and the best share of its words in order at one place.
+def matched(item: list[str], doc: list[str], diags: list[int]) -> tuple[int, float]:
+    """Longest run of the item's words in the document, and the best share of its words in order, at these places.
 
-    The run is found in the letters alone, so divisions of words don't matter.
+    The run is found in the letters alone, so divisions of words don't matter. Where neither a half of a run of RUN words nor
+    the share of a whole item is there, the run isn't measured and given as 0.
     """
-    best, i, n = 0, 0, len(item)
-    while i + best < n:
-        letters = "".join(item[i : i + best + 1])
-        if letters in stream:
-            best += 1
-        else:
-            i += 1
-    share = 0.0
-    for d in diags:
-        part = doc[max(0, d - SLACK) : d + n + 2 * SLACK]
-        share = max(share, lcs(item, part) / n)
+    n, best, share = len(item), 0, 0.0
+    parts = [doc[max(0, d - SLACK) : d + n + 2 * SLACK] for d in diags]
+    half = RUN // 2
+    halves = ["".join(item[i : i + half]) for i in range(0, n - half + 1, half)]
+    for part in parts:
+        own = lcs(item, part) / n
+        share = max(share, own)
+        stream = "".join(part)
+        if own >= 1 - REPLACED or any(h in stream for h in halves):
+            i = 0
+            while i + best < n:
+                if "".join(item[i : i + best + 1]) in stream:
+                    best += 1
+                else:
+                    i += 1
     return best, share
 
 
@@ -196,13 +201,13 @@ def _block(base: DataFrame, every: dict[int, list[str]], kind: str, item_kind: s
     def per_batch(batch):
         out = {"key": [], "item": [], "run": [], "share": []}
         cols = (batch.column(c).to_pylist() for c in ("key", "text", "item", "diags"))
-        last, words, stream = None, [], ""
+        last, words = None, []
         for k, t, i, diags in zip(*cols):
             if (k, t) != last:
                 words = rejoined(t.split(" "), known.value)
-                last, stream = (k, t), "".join(words)
+                last = (k, t)
             item = whole.value[i]
-            run, share = matched(item, words, stream, diags)
+            run, share = matched(item, words, diags)
             if run >= RUN or share >= 1 - REPLACED:
                 for name, v in zip(out, (k, i, run, share)):
                     out[name].append(v)
