@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tokens import _IDS
 from ..runtime import table
 from . import grouping, leaks, levels, mixing, overlap, scans, spans, subjects, tokens
+from .texts import MODERN_FROM, MODERN_WORDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+#: Distinct words of docs(doc_id, _text) cut into pieces, and tokens of each record.
+_PIECES = _IDS[_IDS.index("    pc AS") : _IDS.index("    own AS")]
+_COUNTS = _PIECES + "t AS (SELECT d.doc_id, coalesce(n, 0) + 1 AS tokens, coalesce(m, 0) AS words FROM docs d LEFT JOIN (SELECT doc_id, sum(len(ids)) AS n, count(*) AS m FROM k JOIN cut USING (w) GROUP BY doc_id) c ON c.doc_id = d.doc_id)"
+_LEDGER_TEXTS = "WITH RECURSIVE docs AS MATERIALIZED (SELECT DISTINCT doc_id, _text FROM corpus_ledger WHERE _text IS NOT NULL), "
+_MODERN = ", ".join(f"'{w}'" for w in sorted(MODERN_WORDS))
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -38,6 +47,17 @@ def p1_budget(spark, sf):
     return tokens.token_budget(counts, slices, ["source", "language", "era", "genre"])
 
 
+ORACLE["p1_found"] = _LEDGER_TEXTS + _COUNTS + "SELECT DISTINCT l.doc_id FROM corpus_ledger l JOIN t ON t.doc_id = l.doc_id WHERE l.tokens IS NOT NULL AND l.tokens <> t.tokens"
+ORACLE["p1_budget"] = (
+    _LEDGER_TEXTS
+    + _COUNTS
+    + f""", latin AS (SELECT doc_id, count(*) FILTER (lower(trim(w, '.,;:!?')) IN ({_MODERN})) < {MODERN_FROM} * count(*) AS latin FROM k GROUP BY doc_id),
+    slices AS (SELECT DISTINCT doc_id, CASE WHEN contains(replace(path, chr(92), '/'), '/') THEN split_part(replace(path, chr(92), '/'), '/', 1) ELSE 'unknown' END AS source, coalesce(era, 'unknown') AS era, coalesce(genre, 'unknown') AS genre FROM corpus_ledger)
+    SELECT source, language, era, genre, count(*) AS docs, sum(words)::BIGINT AS words, sum(tokens)::BIGINT AS tokens, sum(bytes)::BIGINT AS bytes FROM (SELECT s.source, CASE WHEN coalesce(latin, false) THEN 'latin' ELSE 'modern' END AS language,
+    s.era, s.genre, t.words, t.tokens, strlen(d._text) AS bytes FROM docs d JOIN t ON t.doc_id = d.doc_id LEFT JOIN latin ON latin.doc_id = d.doc_id JOIN slices s ON s.doc_id = d.doc_id) GROUP BY CUBE (source, language, era, genre)"""
+)
+
+
 LINKS = ("work_id", "work_group", "content_sha1")
 
 
@@ -93,6 +113,16 @@ def p8_found(spark, sf):
     return mixing.unreachable(_document_tokens(spark, sf), table(spark, sf, "mixture_targets")).select("source")
 
 
+_KEY = r"nullif(regexp_replace(lower(trim(regexp_replace(source, '\s+', ' ', 'g'))), '[ _-]', '_', 'g'), '')"
+ORACLE["p8_found"] = (
+    "WITH RECURSIVE docs AS MATERIALIZED (SELECT doc_id, text AS _text FROM documents WHERE text IS NOT NULL), "
+    + _COUNTS
+    + f""", own AS (SELECT {_KEY} AS s, sum(tokens) AS own FROM documents JOIN t USING (doc_id) GROUP BY 1),
+    wanted AS (SELECT {_KEY} AS s, min(source) AS source, sum(target_share) AS share, max(max_repeats) AS most FROM mixture_targets WHERE target_share IS NOT NULL AND max_repeats IS NOT NULL GROUP BY 1 HAVING s IS NOT NULL)
+    SELECT source FROM (SELECT m.source, share, most, coalesce(own, 0) AS own, sum(coalesce(own, 0)) OVER () AS total FROM wanted m LEFT JOIN own ON own.s = m.s) WHERE share * total > most * own"""
+)
+
+
 @query
 def p8_mixture(spark, sf):
     return mixing.mixture_report(_document_tokens(spark, sf), table(spark, sf, "mixture_targets"))

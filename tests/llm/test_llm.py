@@ -43,7 +43,7 @@ def test_tokens_are_the_longest_pieces(spark):
 
 
 def test_modern_languages():
-    assert is_latin(words("et in terra pax hominibus de la")) is False or True
+    assert is_latin(words("et in terra pax hominibus bonae voluntatis")) and not is_latin(words("et in terra pax de la"))
     assert not is_latin(words("the page of the manuscript was written by a second hand")) and is_latin(words("arma virumque cano troiae qui primus"))
     assert not is_latin([])
 
@@ -369,5 +369,7 @@ def test_equals_sql(spark, name):
     c = duckdb.connect()
     for p in SF.glob("*.parquet"):
         c.sql(f"create view {p.stem} as select * from '{p}'")
-    want = set(map(tuple, c.sql(ORACLE[name]).df()[["work_a", "work_b"]].values))
-    assert {(r.work_a, r.work_b) for r in QUERIES[name](spark, str(SF)).collect()} == want
+    got, want = QUERIES[name](spark, str(SF)).toPandas(), c.sql(ORACLE[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda f: sorted(tuple(str(v) for v in r) for r in f[sorted(f.columns)].astype(object).where(f.notna(), None).itertuples(index=False, name=None))
+    assert rows(got) == rows(want)
