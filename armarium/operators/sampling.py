@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,22 +39,41 @@ def first_at_or_above(draws: DataFrame, points: DataFrame, partitions: int | Non
     return found.select("draw", F.col("v").alias("u"), hit["key"].alias("key"))
 
 
+def word_hashes(df: DataFrame, key: str) -> DataFrame:
+    """(key, hs): hashes of the words of (key, words)."""
+    return df.where(F.size("words") > 0).select(key, F.explode(F.array(F.transform("words", lambda w: F.xxhash64(w)))).alias("hs"))
+
+
+def hashed_runs(df: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, at, h, g): every run of k words of (key, words), as two hashes of its words' hashes, 96 bits together.
+
+    Only the key goes with each run, never the text; the explode of one array keeps the words' hashes from being computed anew for each.
+    """
+    hashed = (df if "hs" in df.columns else word_hashes(df, key)).where(F.size("hs") >= k)
+
+    def run(at):
+        words = F.slice("hs", at + 1, F.lit(k)) if k > 1 else F.col("hs")[at]
+        return F.struct(at.alias("at"), F.xxhash64(words).alias("h"), F.hash(words).alias("g"))
+
+    return hashed.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.size("hs") - k), run)).alias("r")).select(key, "r.*")
+
+
+def _met(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """docs' runs joined with those looked for (materialized): few go to the documents, whose own are then never shuffled; of many, hot hashes are split."""
+    few = small(runs)
+    both = docs.withColumnRenamed("g", "g2")
+    return (both.join(few, "h") if few is not runs else salted_join(both, runs, "h")).where("g = g2")
+
+
 def longest_matches(probes: DataFrame, docs: DataFrame, k: int = 8) -> DataFrame:
     """(probe, words): the longest run of words of each probe that some document holds too, 0 under k.
 
     probes: (probe, words array), docs: (doc, words array). Runs of k words of both are joined by
-    their hash and compared; hits on one diagonal of probe and document in a row make a longer run.
+    their hashes; hits on one diagonal of probe and document in a row make a longer run.
     """
-
-    def shingles(df, key, p):
-        at = F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("at")
-        return df.where(F.size("words") >= k).select(F.col(key), "words", at).select(F.col(key), F.col("at").alias(p), F.slice("words", F.col("at") + 1, F.lit(k)).alias("s")).withColumn("h", F.xxhash64("s"))
-
-    # hashes of the probes' runs meet the documents' first, so that only runs that may match are compared
-    a, b = materialize(shingles(probes, "probe", "i")), shingles(docs, "doc", "j").withColumnRenamed("s", "s2")
-    few = small(a)
-    # where the probes' runs are few they go to the documents, whose own runs are then never shuffled; else hot hashes are split
-    hits = (b.join(few, "h") if few is not a else salted_join(b, a, "h")).where("s = s2").select("probe", "doc", "i", (F.col("j") - F.col("i")).alias("diag")).distinct()
+    a = materialize(hashed_runs(probes, "probe", k).select("probe", F.col("at").alias("i"), "h", "g"))
+    b = hashed_runs(docs, "doc", k).select("doc", F.col("at").alias("j"), "h", "g")
+    hits = _met(b, a).select("probe", "doc", "i", (F.col("j") - F.col("i")).alias("diag")).distinct()
     w = Window.partitionBy("probe", "doc", "diag").orderBy("i")
     runs = hits.withColumn("island", F.col("i") - F.row_number().over(w)).groupBy("probe", "doc", "diag", "island").agg((F.count("*") + k - 1).alias("n"))
     best = runs.groupBy("probe").agg(F.max("n").alias("n"))
@@ -62,20 +83,20 @@ def longest_matches(probes: DataFrame, docs: DataFrame, k: int = 8) -> DataFrame
 def longest_runs(probes: DataFrame, docs: DataFrame, k: int = 8) -> DataFrame:
     """(probe, words): the longest run of words of each probe that some document holds too, however short.
 
-    Same inputs as longest_matches, which serves all runs of k words or more. For the probes it leaves at 0 it is
-    enough to know which of their runs of 1 to k - 1 words stand in any document, so no places are paired for those.
+    Same inputs as longest_matches, which serves all runs of k words or more; it is asked again for half as many words for the probes that it leaves
+    at 0, down to two. For the last ones it is enough to know whether any of their words stands in any document.
     """
-    long = materialize(longest_matches(probes, docs, k))
-    left = probes.join(small(long.where("words = 0").select("probe")), "probe", "left_semi")
-
-    def runs(df, *keys):
-        at = df.select(*keys, "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
-        most = F.least(F.lit(k - 1), F.size("words") - F.col("at"))
-        each = at.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), most), lambda n: F.slice("words", F.col("at") + 1, n))).alias("s"))
-        return each.withColumn("h", F.xxhash64("s"))
-
-    a = materialize(runs(left.where("size(words) > 0"), "probe").distinct())
-    wanted = small(a.select("h", F.col("s").alias("s2")).distinct())
-    held = runs(docs.where("size(words) > 0")).join(wanted, "h").where("s = s2").select("h", "s").distinct()
-    best = a.join(held, ["h", "s"]).groupBy("probe").agg(F.max(F.size("s")).cast("bigint").alias("n"))
-    return long.join(best, "probe", "left").select("probe", F.greatest("words", F.coalesce("n", F.lit(0))).alias("words"))
+    # texts are split into words once; spread anew, as one file may hold very many
+    docs = materialize(word_hashes(docs, "doc").repartition("doc"))
+    found, left = [], probes
+    while k > 1 and not left.isEmpty():
+        some = materialize(longest_matches(left, docs, k))
+        found.append(some.where("words > 0"))
+        left = materialize(left.join(small(some.where("words = 0").select("probe")), "probe", "left_semi"))
+        k //= 2
+    a = materialize(hashed_runs(left, "probe", 1).select("probe", "h", "g").distinct())
+    if not a.isEmpty():
+        held = materialize(_met(hashed_runs(docs, "doc", 1).select("h", "g"), materialize(a.select("h", "g").distinct())).select("h", "g").distinct())
+        found.append(a.join(small(held), ["h", "g"]).select("probe", F.lit(1).cast("bigint").alias("words")).distinct())
+    best = reduce(DataFrame.union, found).groupBy("probe").agg(F.max("words").alias("words")) if found else a.select("probe", F.lit(0).cast("bigint").alias("words"))
+    return probes.select("probe").distinct().join(best, "probe", "left").select("probe", F.coalesce("words", F.lit(0)).cast("bigint").alias("words"))
