@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -11,8 +12,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..runtime import materialize
+from ..operators.corpus import running_sum
+from ..runtime import materialize, ship
 from .texts import Memo, arrow_map, fold, hash64, plain
 
 #: What a glyph was read as, and what was printed: pairs that count as if seen PRIOR times before any text is read. All else is learned.
@@ -21,12 +24,13 @@ KNOWN = (
     ("€", "e"), ("0", "o"), ("5", "s"), ("6", "b"), ("8", "b"), ("1", "i"), ("1", "l"), ("|", "l"), ("|)", "p"), ("'", ""),
 )
 #: A pair is learned from at least so many doubtful words, and LEAST_PAIR of them, if these align with common words by it so many times as often as
-#: known words do by chance, before their endings. Words of either kind that are aligned: a bounded sample, as the pairs are few.
-PRIOR, LEAST_WORDS, LEAST_PAIR, LIFT, SAMPLE = 2.0, 4, 3e-4, 5.0, 20_000
+#: known words do by chance, before their endings. All words of either kind are aligned.
+PRIOR, LEAST_WORDS, LEAST_PAIR, LIFT = 2.0, 4, 3e-4, 5.0
 _SIGN = re.compile(r"\|\)|[€015689|']")
 _ODD = re.compile(r"[€015689|]")
-#: Words of the lexicon: those seen twice, the most frequent ones if there are more.
-LEXICON = 1_000_000
+#: A lexicon of up to so many words goes to every worker as it is; of a larger one each block of pages, of so many bytes, gets
+#: the words that can matter in it, found by joins; so many bits tell most of the words that aren't in it before. Results are equal.
+LEXICON, BLOCK, BITS = 1_000_000, 8 << 20, 1 << 27
 #: Skip-gram counts: hashed words x hashed neighbours within so many words. One size for every corpus.
 ROWS, CONTEXTS, REACH, WEIGHT = 1 << 15, 64, 2, 64
 #: A doubtful word is misread for another doubtful one if it is at most this often as common.
@@ -73,43 +77,51 @@ def _places(word: str, a: str) -> list[int]:
     return [i for i in range(len(word) - len(a) + 1) if word.startswith(a, i)]
 
 
-def _holes(word: str, widths: tuple[int, ...]):
-    """((what is before and behind a hole), what is in it) for holes of these widths."""
-    for n in widths:
-        for i in range(len(word) - n + 1):
-            yield (word[:i], word[i + n :]), word[i : i + n]
+def _holes(df: DataFrame, word: str, widths: tuple[int, ...], cut: str) -> DataFrame:
+    """df with (before, behind, `cut`, width, place) for holes of these widths in `word`, of four letters or more: what is before, behind and in it; behind it are two letters at least."""
+    w = F.col(word)
 
+    def cuts(n: int) -> Column:
+        at = F.sequence(F.lit(0), F.length(w) - n - 2)
+        hole = lambda i: F.struct(w.substr(F.lit(1), i).alias("before"), w.substr(i + n + 1, F.length(w)).alias("behind"), w.substr(i + 1, F.lit(n)).alias(cut), F.lit(n).alias("width"), i.alias("place"))
+        return F.transform(at, hole)
 
-def learn_pairs(attested: dict[str, int], doubtful: list[str]) -> dict[tuple[str, str], float]:
-    """{(read, printed): logarithm of its share among doubtful words}, from doubtful words aligned with commoner ones.
+    return df.withColumn("__hole", F.explode(F.concat(*map(cuts, widths)))).select(*df.columns, "__hole.*")
 
-    Two words align if they are equal but for one or two letters in one place before the ending, where forms of one word differ. What rare known words align by is chance. A pair's
-    first part is a letter or two or a sign, its second may only be missing for a sign. KNOWN pairs count PRIOR times more.
+
+def learn_pairs(sure: DataFrame, doubtful: DataFrame) -> dict[tuple[str, str], float]:
+    """{(read, printed): logarithm of its share among doubtful words}, from all doubtful words aligned with all commoner ones.
+
+    sure: (word, n), doubtful: (word). Two words align if they are equal but for one or two letters in one place before the ending, where forms of one
+    word differ. What the rarest quarter of the known words align by is chance. A pair's first part is a letter or two or a sign,
+    its second may only be missing for a sign. KNOWN pairs count PRIOR times more. At most 1 / LEAST_PAIR pairs reach the driver, as each word counts once.
     """
-    common = {w: n for w, n in attested.items() if len(w) >= 4}
-    index: dict[tuple[str, str], list[tuple[str, str]]] = {}
-    for w in common:
-        for key, b in _holes(w, (0, 1, 2)):
-            index.setdefault(key, []).append((w, b))
-
-    def aligned(words, counts):
-        pairs: Counter = Counter()
-        for w in words:
-            found = {}
-            for key, a in _holes(w, (1, 2)):
-                for v, b in index.get(key, ()):
-                    if len(key[1]) >= 2 and v != w and (b or not a.isalpha()) and not (b and (a[0] == b[0] or a[-1] == b[-1])) and common[v] * RARER >= counts.get(w, 0):
-                        found[v] = a, b
-            for pair in found.values():
-                pairs[pair] += 1 / len(found)
-        return pairs
-
-    words = [w for w in doubtful if len(w) >= 4 and not w.isdigit()]
-    rare = sorted(common, key=lambda w: (common[w], w))[: max(1, len(common) // 4)]
-    got, chance = aligned(words, {}), aligned(rare, common)
-    total = max(len(words), 1)
-    learned = {x: n for x, n in got.items() if n >= max(LEAST_WORDS, LEAST_PAIR * total) and n / total >= LIFT * (chance[x] + 0.5) / max(len(rare), 1)}
-    return {x: float(np.log((learned.get(x, 0.0) + PRIOR * (x in KNOWN)) / (total + PRIOR * len(KNOWN)))) for x in {*learned, *KNOWN}}
+    common = sure.where("length(word) >= 4").select("word", F.col("n").cast("bigint").alias("n"))
+    words = doubtful.where("length(word) >= 4").where(~F.col("word").rlike(r"^[\p{Nd}²³¹⁰⁴-⁹₀-₉]+$")).select("word")
+    # only words that others come near in length are cut: elsewhere a text without blanks would be cut at each letter
+    size = F.length("word")
+    asking = {r.at: r["count"] for r in words.groupBy(size.alias("at")).count().collect()}
+    having = {r.at: r for r in common.groupBy(size.alias("at")).agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most")).collect()}
+    near = lambda at, others: [to for to in range(at - 2, at + 3) if to in others]
+    likely = [(at, to) for at in having for to in near(at, having) if having[to].most * RARER >= having[at].least]
+    total, known = sum(asking.values()), sum(r.c for r in having.values())
+    rarest = max(1, known // 4)
+    rare = running_sum(common.withColumn("one", F.lit(1)), ["n", "word"], "one", "rank").where(F.col("rank") < rarest)
+    words, rare = words.where(size.isin([at for at in asking if near(at, having)])), rare.where(size.isin([at for at, _ in likely]))
+    asked = words.select("word", F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("rare")).unionByName(rare.select("word", "n", F.lit(True).alias("rare")))
+    index = _holes(common.where(size.isin([to for to in having if near(to, asking)] + [to for _, to in likely])).select(F.col("word").alias("other"), F.col("n").alias("others")), "other", (0, 1, 2), "b").drop("width", "place")
+    a, b = F.col("a"), F.col("b")
+    apart = (F.substring(a, 1, 1) != F.substring(b, 1, 1)) & (F.substring(a, -1, 1) != F.substring(b, -1, 1))
+    pairs = _holes(asked, "word", (1, 2), "a").join(index, ["before", "behind"]).where(F.when(b == "", ~a.rlike(r"^\p{L}+$")).otherwise(apart)).where(F.col("others") * RARER >= F.col("n"))
+    found = pairs.repartition("rare", "word").groupBy("rare", "word", "other").agg(F.max(F.struct("width", "place", "a", "b")).alias("x"))
+    each = found.groupBy("rare", "word").agg(F.collect_list(F.struct("x.a", "x.b")).alias("xs")).select("rare", F.size("xs").alias("of"), F.explode("xs").alias("x"))
+    shares = each.groupBy("rare", "x.a", "x.b", "of").agg(F.count("*").alias("c")).groupBy("rare", "a", "b").agg(F.sort_array(F.collect_list(F.struct("of", "c"))).alias("cs"))
+    # summed in one order, so that no partitioning changes a sum
+    shares = materialize(shares.select("rare", "a", "b", F.aggregate("cs", F.lit(0.0), lambda s, x: s + x["c"] / x["of"]).alias("n")))
+    often = shares.where(~F.col("rare") & (F.col("n") >= max(LEAST_WORDS, LEAST_PAIR * total))).select("a", "b", "n")
+    rows = often.join(shares.where("rare").select("a", "b", F.col("n").alias("chance")), ["a", "b"], "left").collect()
+    learned = {(r.a, r.b): r.n for r in rows if r.n / max(total, 1) >= LIFT * ((r.chance or 0.0) + 0.5) / rarest}
+    return {x: float(np.log((learned.get(x, 0.0) + PRIOR * (x in KNOWN)) / (max(total, 1) + PRIOR * len(KNOWN)))) for x in {*learned, *KNOWN}}
 
 
 class Reader:
@@ -118,8 +130,8 @@ class Reader:
     A noisy channel: how common words are, how likely glyphs are misread for others, and skip-gram vectors of the neighbours decide together.
     """
 
-    def __init__(self, lexicon: dict[str, int], vectors: np.ndarray | None = None, doubtful: frozenset[str] = frozenset(), pairs: dict[tuple[str, str], float] | None = None):
-        self.lexicon, self.vectors, self.doubtful = lexicon, vectors, doubtful
+    def __init__(self, lexicon: dict[str, int], vectors: np.ndarray | None = None, doubtful: frozenset[str] = frozenset(), pairs: dict[tuple[str, str], float] | None = None, given: dict[tuple[str, int], dict[str, float]] | None = None):
+        self.lexicon, self.vectors, self.doubtful, self.given = lexicon, vectors, doubtful, given
         given = pairs if pairs is not None else {x: float(np.log(0.01)) for x in KNOWN}
         self.pairs: dict[str, list[tuple[str, float]]] = {}
         self.signs: dict[str, list[tuple[str, float]]] = {}
@@ -156,17 +168,22 @@ class Reader:
         for edits in (0, 1, 2):
             if found or len(word) < 3 + edits and edits:
                 break
-            near: dict[str, float] = {}
-            for w, log in options.items():
-                for n, more in (replaced(w, self.pairs, edits) if edits else {w: 0.0}).items():
-                    if n in self.lexicon and n != word:
-                        near[n] = max(near.get(n, -1e9), log + more)
+            near = self.near(word, options, edits) if self.given is None else self.given.get((word, edits), {})
             found = {n: x for n, x in near.items() if self.attested(n) and self.lexicon[n] >= count} or {n: x for n, x in near.items() if n in self.doubtful and count <= RARER * self.lexicon[n]}
         if found:
             return tuple((n, x + float(np.log(self.lexicon[n] / max(count, 1)))) for n, x in sorted(found.items()))
         signs = _ODD.search(word) and sum(c.isalpha() for c in word) >= 2
         return ((max(options, key=lambda w: (len(w), w)), 0.0),) if signs else ()
 
+    def near(self, word: str, options: dict[str, float], edits: int) -> dict[str, float]:
+        """Words of the lexicon that the word's readings are by exactly so many misread pairs, each with the logarithm of its likelihood."""
+        near: dict[str, float] = {}
+        for w, log in options.items():
+            for n, more in (replaced(w, self.pairs, edits) if edits else {w: 0.0}).items():
+                if n in self.lexicon and n != word:
+                    near[n] = max(near.get(n, -1e9), log + more)
+        return near
+
     def attested(self, word: str) -> bool:
         """Whether it is known from texts that aren't scanned pages."""
         return word in self.lexicon and word not in self.doubtful
@@ -299,6 +316,36 @@ def read_page(text: str, name: str, reader: Reader) -> tuple[list[tuple[int, str
     return sorted(set(places)), repaired
 
 
+def asked_words(text: str, name: str, longest: int) -> tuple[set[str], set[tuple[str, str]]]:
+    """(words, pairs of parts) about which read_page may ask a reader whose lexicon has no word of over `longest` letters.
+
+    Whether parts are joined over the ends of lines depends on the lexicon, so both ways are followed. Two misread pairs
+    take away four letters at most: what has more than that over `longest` is joined only for signs that are no letters.
+    """
+    title = title_words(name)
+    lines = [ws for line in text.split("\n") if not is_furniture(line, title) and (ws := line.split())]
+    out, joins, heads = set(), set(), {("", None)}
+    for ws, after in zip(lines, [*lines[1:], None]):
+        out.update(map(bare, ws[1:]))
+        out.update(w for head, a in heads if (w := bare(head + ws[0])) != (a and a + bare(ws[0])))
+        lasts = {head + ws[0] for head, _ in heads} if len(ws) == 1 else {ws[-1]}
+        heads = set()
+        for last in lasts:
+            m = _BREAK.search(last)
+            if m and after:
+                heads.add((last[: m.start(1)], None))
+                continue
+            heads.add(("", None))
+            if not after or not (last[-1].isalpha() or _SIGN.match(last[-1])):
+                continue
+            a, b = bare(last), bare(after[0])
+            if a and b and after[0][0].isalpha() and (after[0][0].islower() or last.isupper()):
+                joins.add((a, b))
+                if sum(map(str.isalpha, a if _ODD.search(a + b) else a + b)) <= longest + 4 or (_ODD.search(b) and not _ODD.search(a)):
+                    heads.add((last, a))
+    return out, joins
+
+
 def _one_word(a: str, b: str, reader: Reader) -> bool:
     """Whether the end of a line and the beginning of the next are one word, though nothing marks it."""
     for known in (reader.attested, reader.known):
@@ -340,10 +387,10 @@ def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]*)$", 1)
 
 
-def corpus_counts(df: DataFrame) -> tuple[dict[str, int], np.ndarray, frozenset[str], dict[tuple[str, str], float]]:
-    """(lexicon, skip-gram vectors, doubtful words, misread glyphs), from all texts in one pass.
+def corpus_counts(df: DataFrame) -> tuple[DataFrame, np.ndarray, dict[tuple[str, str], float]]:
+    """(lexicon, skip-gram vectors, misread glyphs), from all words of all texts in one pass.
 
-    df: (text, page). The lexicon has the words that stand at least twice in texts that aren't scanned pages, or in pages; the
+    df: (text, page). The lexicon (word, n, doubtful) has all words that stand at least twice in texts that aren't scanned pages, or in pages; the
     latter only are doubtful. Vectors are pointwise mutual information of hashed words and hashed neighbours.
     """
     memo = Memo(lambda w: (lambda b: (b, hash64(b)))(bare(w)))
@@ -383,8 +430,6 @@ def corpus_counts(df: DataFrame) -> tuple[dict[str, int], np.ndarray, frozenset[
     words = materialize(rows.where("word is not null and word != ''").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("pages").alias("pages")))
     both = F.col("clean") + F.col("pages")
     listed = words.where(both >= 2).where(~F.col("word").rlike(r"[0-9€|]")).select("word", both.alias("n"), (F.col("clean") < 2).alias("doubtful"))
-    listed = listed.orderBy(F.desc("n"), "word").limit(LEXICON).toArrow().to_pandas()
-    doubtful = [r.word for r in words.where("clean = 0 and length(word) >= 4").select("word").orderBy(F.xxhash64("word"), "word").limit(SAMPLE).collect()]
     grid = np.zeros(cells)
     for r in rows.where("block is not null").groupBy("block").applyInPandas(added, "block int, cells binary").collect():
         grid[r.block : r.block + block] = np.frombuffer(r.cells, np.int64)
@@ -392,9 +437,73 @@ def corpus_counts(df: DataFrame) -> tuple[dict[str, int], np.ndarray, frozenset[
     grid = grid.reshape(ROWS, CONTEXTS)
     common = (grid.sum(0) + 1) / (grid.sum() + CONTEXTS)
     vectors = np.log((grid + WEIGHT * common) / ((grid.sum(1, keepdims=True) + WEIGHT) * common)).astype(np.float32)
-    sure = listed[~listed["doubtful"].astype(bool)]
-    pairs = learn_pairs(dict(zip(sure["word"][:SAMPLE], sure["n"][:SAMPLE].astype(int))), doubtful)
-    return dict(zip(listed["word"], listed["n"].astype(int))), vectors, frozenset(listed["word"][listed["doubtful"].astype(bool)]), pairs
+    return listed, vectors, learn_pairs(listed.where("not doubtful"), words.where("clean = 0"))
+
+
+def _lexicon(rows: pa.Table) -> tuple[dict[str, int], frozenset[str]]:
+    """The lexicon and its doubtful words."""
+    words = rows.column("word").to_pylist()
+    return dict(zip(words, rows.column("n").to_pylist())), frozenset(w for w, d in zip(words, rows.column("doubtful").to_pylist()) if d)
+
+
+class Bits:
+    """Holds every word of a lexicon, and a few others."""
+
+    def __init__(self, bits: bytes):
+        self.bits = bits
+
+    def __contains__(self, word: str) -> bool:
+        at = zlib.crc32(word.encode("utf-8", "surrogatepass")) % (len(self.bits) * 8)
+        return self.bits[at >> 3] >> (at & 7) & 1 == 1
+
+    @classmethod
+    def of(cls, lexicon: DataFrame) -> Bits:
+        part = BITS >> 8
+
+        def put(f):
+            bits = np.zeros(part, np.uint8)
+            bits[f["at"].to_numpy() % part] = 1
+            return pd.DataFrame({"part": f["part"][:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+        at = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(BITS))
+        found = lexicon.select(at.alias("at")).distinct().withColumn("part", F.floor(F.col("at") / part)).groupBy("part").applyInPandas(put, "part bigint, bits binary").collect()
+        parts = {r.part: bytes(r.bits) for r in found}
+        return cls(b"".join(parts.get(i, bytes(part // 8)) for i in range(256)))
+
+
+def block_lexicons(pages: DataFrame, lexicon: DataFrame, pairs: dict[tuple[str, str], float]) -> DataFrame:
+    """(block, asked, edits, log, word, n, doubtful): what reading the pages (block, text, name) of a block can look up, so that no worker holds all of the lexicon.
+
+    Its words that may be asked for have null in `asked`; other rows have those that a word asked for is by so many misread pairs.
+    """
+    longest = lexicon.agg(F.coalesce(F.max(F.length("word")), F.lit(0))).first()[0]
+    shared = pages.sparkSession.sparkContext.broadcast(Bits.of(lexicon))
+
+    def ask(rows: pa.Table) -> pa.Table:
+        found = [asked_words(t, n, longest) for t, n in zip(rows.column("text").to_pylist(), rows.column("name").to_pylist())]
+        words = [(w, None, None) for w in sorted(set().union(*(ws for ws, _ in found)))] + [(a + b, a, b) for a, b in sorted(set().union(*(joins for _, joins in found)))]
+        block = pa.array([rows.column("block")[0].as_py()] * len(words), pa.int64())
+        return pa.table({"block": block, **{c: pa.array([w[i] for w in words], pa.string()) for i, c in enumerate(("word", "head", "tail"))}})
+
+    def per_batch(batch):
+        reader, rows = Reader(shared.value, pairs=pairs), []
+        for w in batch.column("word").to_pylist():
+            if w and not w.isdigit() and not _ROMAN(w):
+                options = reader.readings(w)
+                rows += [(w, edits, n, x) for edits in (0, 1, 2) if not edits or len(w) >= 3 + edits for n, x in reader.near(w, options, edits).items()]
+        return {c: [r[i] for r in rows] for i, c in enumerate(("asked", "edits", "word", "log"))}
+
+    asked = materialize(pages.groupBy("block").applyInArrow(ask, "block bigint, word string, head string, tail string"))
+    # parts are joined if the whole is known, or if neither part is and the whole stands for another word
+    joins = asked.where("head is not null").select("word", "head", "tail").distinct()
+    known = lexicon.select(F.col("word").alias("known"))
+    unknown = joins.join(known, F.col("head") == F.col("known"), "left_anti").join(known, F.col("tail") == F.col("known"), "left_anti")
+    uncertain = asked.where("head is null").select("word").unionByName(unknown.select("word")).unionByName(joins.join(lexicon.where("doubtful"), "word", "left_semi").select("word"))
+    uncertain = uncertain.distinct().join(lexicon.where("not doubtful"), "word", "left_anti")
+    near = materialize(arrow_map(uncertain, "asked string, edits int, word string, log double", per_batch).join(lexicon, "word"))
+    asked = asked.select("block", "word").distinct()
+    own = asked.join(lexicon, "word").select("block", F.lit(None).cast("string").alias("asked"), F.lit(None).cast("int").alias("edits"), F.lit(None).cast("double").alias("log"), "word", "n", "doubtful")
+    return own.unionByName(asked.withColumnRenamed("word", "asked").join(near, "asked").select(*own.columns))
 
 
 def scan_noise(df: DataFrame, key: str = "doc_id", path: str = "path", text: str = "_text", repaired: bool = False) -> DataFrame:
@@ -410,16 +519,14 @@ def scan_noise(df: DataFrame, key: str = "doc_id", path: str = "path", text: str
     base = base.where("key is not null and text is not null")
     page = F.col("name").startswith("Pagina_")
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(corpus_counts(base.select("text", page.alias("page"))))
-    state: dict = {}
-    kind = dict(df.dtypes)[key]
+    lexicon, vectors, pairs = corpus_counts(base.select("text", page.alias("page")))
+    pages, kind = base.where(page), dict(df.dtypes)[key]
+    schema = f"key {kind}, text string" if repaired else f"key {kind}, line int, kind string, printed string, repaired string"
 
-    def per_batch(batch):
-        if "reader" not in state:
-            state["reader"] = Reader(*shared.value)
+    def read(reader: Reader, batch) -> dict | None:
         keys, rows = batch.column("key"), []
         for n, (t, name) in enumerate(zip(batch.column("text").to_pylist(), batch.column("name").to_pylist())):
-            places, whole = read_page(t, name, state["reader"])
+            places, whole = read_page(t, name, reader)
             rows += [(n, whole)] if repaired else [(n, *p) for p in places]
         if not rows:
             return None
@@ -427,5 +534,32 @@ def scan_noise(df: DataFrame, key: str = "doc_id", path: str = "path", text: str
         names = ("text",) if repaired else ("line", "kind", "printed", "repaired")
         return {"key": keys.take(pa.array(cols[0])), **dict(zip(names, map(list, cols[1:])))}
 
-    schema = f"key {kind}, text string" if repaired else f"key {kind}, line int, kind string, printed string, repaired string"
-    return arrow_map(base.where(page), schema, per_batch)
+    if lexicon.count() <= LEXICON:
+        shared = spark.sparkContext.broadcast((*_lexicon(lexicon.toArrow()), vectors, pairs))
+        state: dict = {}
+
+        def per_batch(batch):
+            if "reader" not in state:
+                known, doubtful, vectors, pairs = shared.value
+                state["reader"] = Reader(known, vectors, doubtful, pairs)
+            return read(state["reader"], batch)
+
+        return arrow_map(pages, schema, per_batch)
+
+    ship(spark)
+    spread = spark.sparkContext.broadcast((vectors, pairs))
+    wanted = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    blocks = pages.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // BLOCK + 1
+    pages = materialize(pages.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))))
+
+    def per_block(rows: pa.Table, words: pa.Table) -> pa.Table:
+        vectors, pairs = spread.value
+        given: dict[tuple[str, int], dict[str, float]] = {}
+        for asked, edits, word, log in zip(*(words.column(c).to_pylist() for c in ("asked", "edits", "word", "log"))):
+            if asked is not None:
+                given.setdefault((asked, edits), {})[word] = log
+        known, doubtful = _lexicon(words)
+        out = read(Reader(known, vectors, doubtful, pairs, given), rows.combine_chunks())
+        return pa.table({f.name: out[f.name] if f.name == "key" else pa.array(out[f.name], f.type) for f in wanted}, schema=wanted) if out else wanted.empty_table()
+
+    return pages.groupBy("block").cogroup(block_lexicons(pages.drop("key"), lexicon, pairs).groupBy("block")).applyInArrow(per_block, schema)

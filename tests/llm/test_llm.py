@@ -303,6 +303,35 @@ def test_misread_words_seen_twice_where_all_are_pages(spark):
     assert got >= {(100 + i, wrong, right) for i in range(3)} and not [x for x in got if x[1] == right]
 
 
+def test_glyphs_are_learned_from_all_words(spark):
+    rnd = random.Random(41)
+    word = lambda n: "".join(rnd.choice("abdeghklmoprstuy") for _ in range(n))
+    common, rare = sorted({word(10) for _ in range(20_500)}), sorted({word(4) + "q" + word(4) for _ in range(300)})
+    rows = [(i, f"a/Opus_{i}.txt", " ".join(common[i % 40 :: 40] * 3)) for i in range(40)] + [(100, "a/Opus_100.txt", " ".join(rare * 2)), (101, "a/Opus_101.txt", (LONG.replace(" ", "") + " ") * 2)]
+    rows += [(1000 + i, f"a/Pagina_Opus.djvu_{i}.txt", f"{common[i]} {w.replace('q', 'x')} {common[i + 1]}") for i, w in enumerate(rare)]
+    got = scans.scan_noise(spark.createDataFrame(rows, "doc_id long, path string, _text string")).where("kind = 'misread'").collect()
+    assert {(r.key, r.printed, r.repaired) for r in got} == {(1000 + i, w.replace("q", "x"), w) for i, w in enumerate(rare)}
+
+
+def test_the_lexicon_is_whole_at_any_size(spark, monkeypatch):
+    rnd, v = random.Random(42), vocabulary(400, 43)
+    parts = [*v, *(w[:3] for w in v), *(w[3:] for w in v if len(w) > 3)]
+    spoilt = lambda w: w.replace(*rnd.choice([("e", "c"), ("n", "u"), ("o", "0"), ("i", "1"), ("s", "f"), ("a", "'a")]), 1) + rnd.choice(["", "", "", "-", "."])
+    lines = lambda: "\n".join(" ".join(spoilt(rnd.choice(parts)) for _ in range(rnd.choice((0, 1, 1, 1, 4)))) for _ in range(25))
+    rows = [(i, f"a/Opus_{i}.txt", text_of(rnd, v, 60)) for i in range(40)] + [(100 + i // 2, "a/Pagina_Opus.djvu_1.txt", lines()) for i in range(60)]
+    rows += [rows[-1], (200, "a/Pagina_X.djvu_1.txt", ""), (201, "a/Pagina_X.djvu_2.txt", None), (None, "a/Pagina_X.djvu_3.txt", "x"), (202, None, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, path string, _text string")
+    read = lambda repaired: sorted(map(tuple, scans.scan_noise(d, repaired=repaired).collect()))
+    places, texts = read(False), read(True)
+    assert {p[2] for p in places} >= {"misread", "broken_word"} and len(texts) == 62
+    monkeypatch.setattr(scans, "LEXICON", 100)
+    monkeypatch.setattr(scans, "BLOCK", 2_000, raising=False)
+    assert read(False) == places and read(True) == texts
+    empty = d.where("path is null")
+    monkeypatch.setattr(scans, "LEXICON", -1)
+    assert scans.scan_noise(empty).count() == 0
+
+
 def test_subjects(spark):
     rnd = random.Random(12)
     topics = {s: vocabulary(30, seed) for s, seed in (("law", 21), ("medicine", 22), ("war", 23))}
